@@ -5,8 +5,8 @@ for certain and once more with the remaining probability. Which documents are, t
 probabilities moves along directions in the null space of the balancing constraints (number of documents, number of words),
 so both totals stay what they were, until in each move one document's probability has become 0 or 1.
 
-With two constraints three documents suffice for a move, so the flight takes a chunk's documents one after another and
-leaves at most two open. Chunks of a source fly in parallel; what they leave open flies again in fewer chunks, and in the
+With two constraints three documents suffice for a move, so the flight takes a chunk's documents one after another, long
+ones first, and leaves at most two open, which are short. Chunks of a source fly in parallel; what they leave open flies again in fewer chunks, and in the
 last chunk the landing, a choice of at most two documents, minimises the error of the word total.
 
 Which chunk and place a document has follows from a hash of its id and size, and so do the random numbers: reruns agree
@@ -150,7 +150,7 @@ def decide(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     while True:
         lots = spark.createDataFrame([(i, n) for i, n in chunks.items()], "src int, chunks long")
         placed = units.join(lots, "src").withColumn("place", F.xxhash64("doc_id", "size", F.lit(seed), F.lit(level))).withColumn("chunk", F.pmod(F.xxhash64("place"), F.col("chunks")))
-        placed = placed.select("doc_id", "src", "size", "chunk", "chunks", "place", "pi").repartition("src", "chunk").sortWithinPartitions("src", "chunk", "place", "doc_id", "size")
+        placed = placed.select("doc_id", "src", "size", "chunk", "chunks", "place", "pi").repartition("src", "chunk").sortWithinPartitions("src", "chunk", F.desc("size"), "place", "doc_id")
         flown = materialize(spark, placed.mapInArrow(_fly(seed, level), placed.schema), f"flight-{level}")
         done = flown.filter("pi = 0 OR pi = 1").select("doc_id", "src", "size", "pi")
         decided = done if decided is None else decided.unionByName(done)
