@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ STRIDE = 128
 LIMIT = 18
 CACHE = 1_000_000
 _TAILS = ".,;:!?"
+_ENDS = frozenset(_TAILS)
 
 
 # --- encoding texts
@@ -57,46 +59,58 @@ class Encoder:
             made = json.load(f)
         pre = made.get("pre_tokenizer") or {}
         self.cuts = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and all(t.get("special") for t in made.get("added_tokens", []))
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cache: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        small = self.library.get_vocab_size() <= 1 << 16
+        self.kind, self._item = ("<u2", "H") if small else ("<u4", "I")
+        self.cache: dict[str, bytes] = {}  # of words, with the blank before them
+        self.bare: dict[str, bytes] = {}  # of strings without
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self._item, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
-    def _parts(word: str) -> list[str]:
-        """Strings (the first with its blank) that are encoded apart."""
+    def _parts(word: str) -> tuple[str, list[str]]:
+        """The part of a word that follows its blank, and the strings after it, all encoded apart."""
         lines = word.split("\n")
         if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-            return [" " + word]
+            return word, []
         out = []
         for i, line in enumerate(lines):
             core = line.rstrip(_TAILS)
-            lead = "" if i else " "
             if i:
                 out.append("\n")
             if core and core != line and (core[-1].isalpha() or core[-1].isdecimal()):
-                out += [lead + core, line[len(core) :]]
+                out += [core, line[len(core) :]]
             else:
-                out.append(lead + line)
-        return out
+                out.append(line)
+        return out[0], out[1:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian integers of ``kind``."""
         if not self.cuts:
             return self._library(texts)
         cut = [words(t) for t in texts]
-        if len(self.cache) > CACHE or len(self.cores) > CACHE:
+        if len(self.cache) > CACHE or len(self.bare) > CACHE:
             self.cache.clear()
-            self.cores.clear()
-        cache, cores = self.cache, self.cores
-        new = {w: self._parts(w) for w in {w for c in cut for w in c[1:]}.difference(cache)}
-        lacking = list({p for parts in new.values() for p in parts}.difference(cores))
-        cores.update(zip(lacking, self._library(lacking), strict=True))
-        cache.update((w, b"".join([cores[p] for p in parts])) for w, parts in new.items())
-        firsts = self._library([c[0] for c in cut])
-        return [first + b"".join(map(cache.__getitem__, c[1:])) for first, c in zip(firsts, cut, strict=True)]
+            self.bare.clear()
+        cache, bare = self.cache, self.bare
+        new = set()
+        for c in cut:
+            new.update(c[1:])
+        new.difference_update(cache)
+        # most words have no closing punctuation and are looked up as they are
+        made = [(w, *self._parts(w)) for w in new if w[-1:] in _ENDS or "\n" in w]
+        made = [m for m in made if m[2]]
+        whole = new.difference([m[0] for m in made])
+        whole.update(m[1] for m in made if m[1] not in cache)
+        strings = {p for m in made for p in m[2]}.difference(bare)
+        strings.update(c[0] for c in cut)
+        whole, strings = list(whole), list(strings)
+        found = self._library([" " + w for w in whole] + strings)
+        cache.update(zip(whole, found, strict=False))
+        bare.update(zip(strings, found[len(whole) :], strict=True))
+        for w, first, rest in made:
+            cache[w] = cache[first] + b"".join([bare[p] for p in rest])
+        return [bare[c[0]] + b"".join([cache[w] for w in c[1:]]) for c in cut]
 
 
 _encoders: dict[str, Encoder] = {}
