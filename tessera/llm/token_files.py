@@ -96,7 +96,7 @@ class Encoder:
         new = set()
         for c in cut:
             new.update(c[1:])
-        new.difference_update(cache)
+        new = new.difference(cache)
         # most words have no closing punctuation and are looked up as they are
         made = [(w, *self._parts(w)) for w in new if w[-1:] in _ENDS or "\n" in w]
         made = [m for m in made if m[2]]
