@@ -1,0 +1,3 @@
+"""Operators: functions from named DataFrames and parameters to named DataFrames, found by slug."""
+
+from tessera.operators.registry import OPERATORS, operator, run  # noqa: F401
