@@ -1,0 +1 @@
+"""Streams: the same operators on unbounded tables."""
