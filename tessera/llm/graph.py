@@ -42,8 +42,8 @@ def connected_components(spark: SparkSession, links: DataFrame, max_rounds: int
     """(node, component) for every node of ``links(a, b)``; component is the smallest node that can be reached.
 
     Each partition first contracts its links to a forest; then alternating large-star and small-star rounds, each
-    written to the shared folder, run until nothing changes. A node's minimum is found with map-side combining and
-    joined back, so a hub's links can be split between tasks. Empty input gives an empty table; links with a null end
+    written to the shared folder, run until nothing changes. A node's minimum is found with map-side combining, written,
+    and joined back between two plain exchanges, so a hub's links can be split between tasks. Empty input gives an empty table; links with a null end
     and self-links are ignored.
     """
     kind = links.schema[0].dataType.simpleString()
@@ -56,10 +56,10 @@ def connected_components(spark: SparkSession, links: DataFrame, max_rounds: int
             break
         print_of = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(spark, both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = materialize(spark, large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(spark, large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         # a itself also hangs on its minimum; where b is the minimum that row is already there
         edges = materialize(spark, small.distinct(), "small-star")

@@ -250,7 +250,8 @@ def near_links(spark: SparkSession, prints: DataFrame, tables: list[np.ndarray],
     """Links (a, b) between distinct fingerprints ``prints(fp)``; their components are those of all pairs within the radius
     that share a key."""
     keyed = prints.mapInArrow(_keys(tables), "key long, fp binary")
-    crowd = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # a table of its own, so that the join has two plain exchanges and can split a key with many fingerprints
+    crowd = materialize(spark, keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "crowded-keys")
     j = keyed.join(crowd, "key").select("key", "fp", F.ceil(F.col("n") / tile).cast("int").alias("chunks"))
     j = j.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     j = j.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
