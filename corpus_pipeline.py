@@ -33,7 +33,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document (smallest id) of each group of near copies."""
     groups = simhash.simhash_groups(docs, SHINGLE, PRINT_WORDS, RADIUS, simhash.sampled_tables())
     gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    # never broadcast: nothing bounds the number of copies
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

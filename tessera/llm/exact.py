@@ -109,7 +109,8 @@ def _digest(text: str) -> F.Column:
 def exact_report(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row; texts without a double need no partner in the join."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_cp"), _digest("text").alias("text_sha256"))
-    j = rows.join(duplicate_groups(docs), "text_sha256", "left")
+    # never broadcast: nothing bounds the number of groups
+    j = rows.join(duplicate_groups(docs).hint("merge"), "text_sha256", "left")
     alone = F.col("group_size").isNull()
     return j.select(
         "doc_id",
@@ -128,7 +129,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     marked = docs.toDF(*(f"_c{i}" for i in range(len(names))))
     at = {n: f"_c{i}" for i, n in enumerate(names)}
     marked = marked.withColumn("_x0", _digest(at["text"]))
-    j = marked.join(groups, "_x0", "left")
+    j = marked.join(groups.hint("merge"), "_x0", "left")  # never broadcast: nothing bounds the number of groups
     n_cp = F.char_length(F.coalesce(F.col(at["text"]), F.lit("")))
     stays = F.col("_x3").isNull() | (F.col(at["doc_id"]).eqNullSafe(F.col("_x1")) & (n_cp == F.col("_x2")))
     j = j.filter(stays)

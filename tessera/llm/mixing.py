@@ -181,7 +181,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     own = list(at.values())
     rows = docs.toDF(*own)
     rows = rows.withColumn("_id", F.col(at["doc_id"]).cast("long")).withColumn("_size", word_count(at["text"]))
-    j = rows.join(decisions.filter("_t > 0"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_size") == F.col("_s")))
+    # never broadcast: there is a decision for each document
+    j = rows.join(decisions.filter("_t > 0").hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_size") == F.col("_s")))
     repeat = lambda df, times: df.select(*own, F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("_r")).select(own)
     out = repeat(j.filter("_n = 1"), F.col("_t"))
     if not decisions.filter("_n > 1").isEmpty():
