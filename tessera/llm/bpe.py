@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import slices, text_of
 
 #: Entries of the word and prefix caches of one worker; full caches are emptied.
-CACHE = 600_000
+CACHE = 300_000
 
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Characters that Python counts as white space, a superset of the pattern's ``\s``.
