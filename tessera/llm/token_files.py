@@ -32,7 +32,7 @@ from tessera.llm.common import count_partitions, materialize, released_shuffles,
 BLOCK = 1 << 17
 STRIDE = 128
 LIMIT = 18
-CACHE = 1_000_000
+CACHE = 1_600_000
 _TAILS = ".,;:!?"
 _ENDS = frozenset(_TAILS)
 
