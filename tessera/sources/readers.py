@@ -25,7 +25,7 @@ def data_reader(inputs, spark: SparkSession | None = None, data_source: dict | N
     d = need(data_source, "data_source")
     kind, url = d.get("format", "PARQUET").upper(), d.get("url") or d.get("path")
     reader = spark.read
-    listed = schema_of(d["attributes"]) if d.get("attributes") and infer_schema in ("FROM_CATALOG", "FROM_LIMONERO") else None
+    listed = schema_of(d["attributes"]) if d.get("attributes") and infer_schema not in ("FROM_VALUES", "NO") else None
     nulls = null_values or d.get("treat_as_missing")
     if kind == "CSV":
         reader = reader.options(header=flag(d.get("is_first_line_header") if header is None else header), sep=separator or d.get("attribute_delimiter") or ",", quote=quote or d.get("text_delimiter") or '"', escape='"', mode=mode, encoding=d.get("encoding") or "UTF-8", multiLine=flag(d.get("is_multiline")))
