@@ -52,6 +52,12 @@ class PrefixBPE:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        #: By a prefix's last three bytes: the lengths of the tokens that may end it, longest first.
+        sizes: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 2:
+                sizes.setdefault(token[-3:], set()).add(len(token))
+        self._sizes = {tail: (*sorted(found, reverse=True), 2, 1) for tail, found in sizes.items()}
         self._split: dict[int, tuple[int, int] | None] = {}
         self._apart: dict[tuple[int, int], bool] = {}
         self._last: dict[bytes, int] = {}
@@ -87,13 +93,13 @@ class PrefixBPE:
         """Whether BPE of the two tokens' bytes is these two tokens.
 
         Undo the merges of both, latest first. At each moment the tokens at the border must not be a pair that BPE would
-        have merged before the merge undone last.
+        have merged before the merge undone last. Never so for a right token that is not ``valid``.
         """
         known = self._apart.get((left, right))
         if known is not None:
             return known
-        a, b, bound, answer = left, right, 1 << 60, True
-        while True:
+        a, b, bound, answer = left, right, 1 << 60, self.valid(right)
+        while answer:
             joined = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
             # on the left side an equal rank further right comes later, on the right side it comes first
             if joined is not None and joined < bound:
@@ -111,13 +117,22 @@ class PrefixBPE:
         self._apart[left, right] = answer
         return answer
 
-    def _find_last(self, prefix: bytes, last_of) -> int:
-        n = len(prefix)
-        for size in range(min(n, self.longest), 0, -1):
-            token = self.ranks.get(prefix[n - size :])
-            if token is None or not self.valid(token):
+    def _find_last(self, prefix: bytes) -> int:
+        """The last token of a prefix from those of the shorter prefixes in the cache."""
+        n, ranks, last, known = len(prefix), self.ranks, self._last, self._apart
+        for size in self._sizes.get(prefix[-3:], (2, 1)):
+            if size > n:
                 continue
-            if size == n or self.apart(last_of(n - size), token):
+            token = ranks.get(prefix[n - size :])
+            if token is None:
+                continue
+            if size == n:
+                if self.valid(token):
+                    return token
+                continue
+            left = last[prefix[: n - size]]
+            answer = known.get((left, token))
+            if self.apart(left, token) if answer is None else answer:
                 return token
         raise ValueError("the ranks lack a single byte")
 
@@ -158,7 +173,7 @@ class PrefixBPE:
             n -= 1
         for n in range(n + 1, len(piece) + 1):
             prefix = piece[:n]
-            last[prefix] = self._find_last(prefix, lambda k, p=prefix: last[p[:k]])
+            last[prefix] = self._find_last(prefix)
         out, n = [], len(piece)
         while n:
             token = last[piece[:n]]
