@@ -33,8 +33,8 @@ BLOCK = 1 << 17
 STRIDE = 128
 LIMIT = 18
 CACHE = 1_600_000
-_TAILS = ".,;:!?"
-_ENDS = frozenset(_TAILS)
+#: Words a line that goes to the library, and how byte-level vocabularies write a blank.
+_LINE, _BLANK = 256, "\u0120"
 
 
 # --- encoding texts
@@ -43,8 +43,9 @@ _ENDS = frozenset(_TAILS)
 class Encoder:
     """The tokenizers library behind a cache of words.
 
-    Cutting at single blanks, before closing punctuation after a letter or digit and around single line ends cuts between
-    pieces of the byte-level pattern only; for a tokenizer of any other make whole texts go to the library.
+    Cutting at single blanks between characters that are not white space cuts between pieces of the byte-level pattern only.
+    New words go to the library in lines of many; a word begins at each id whose token begins with a blank. For a tokenizer
+    of any other make whole texts go to the library.
     """
 
     def __init__(self, path: str):
@@ -61,56 +62,37 @@ class Encoder:
         self.cuts = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and all(t.get("special") for t in made.get("added_tokens", []))
         small = self.library.get_vocab_size() <= 1 << 16
         self.kind, self._item = ("<u2", "H") if small else ("<u4", "I")
-        self.cache: dict[str, bytes] = {}  # of words, with the blank before them
-        self.bare: dict[str, bytes] = {}  # of strings without
+        self.begins = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.begins[i] = token[0] == _BLANK
+        self.cache: dict[str | None, bytes] = {None: b""}  # of words, with the blank before them
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self._item, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, list[str]]:
-        """The part of a word that follows its blank, and the strings after it, all encoded apart."""
-        lines = word.split("\n")
-        if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-            return word, []
-        out = []
-        for i, line in enumerate(lines):
-            core = line.rstrip(_TAILS)
-            if i:
-                out.append("\n")
-            if core and core != line and (core[-1].isalpha() or core[-1].isdecimal()):
-                out += [core, line[len(core) :]]
-            else:
-                out.append(line)
-        return out[0], out[1:]
+    def _learn(self, new: list[str]) -> None:
+        odd = [w for w in new if " " in w]  # blanks among other white space
+        self.cache.update(zip(odd, self._library([" " + w for w in odd]), strict=True))
+        plain = [w for w in new if " " not in w] if odd else new
+        lines = [plain[at : at + _LINE] for at in range(0, len(plain), _LINE)]
+        wide = np.dtype(self.kind).itemsize
+        for line, raw in zip(lines, self._library([" " + " ".join(x) for x in lines]), strict=True):
+            at = (np.flatnonzero(self.begins[np.frombuffer(raw, self.kind)]) * wide).tolist()
+            self.cache.update(zip(line, [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian integers of ``kind``."""
         if not self.cuts:
             return self._library(texts)
+        if len(self.cache) > CACHE:
+            self.cache = {None: b""}
         cut = [words(t) for t in texts]
-        if len(self.cache) > CACHE or len(self.bare) > CACHE:
-            self.cache.clear()
-            self.bare.clear()
-        cache, bare = self.cache, self.bare
-        new = set()
+        heads = self._library([c[0] for c in cut])
         for c in cut:
-            new.update(c[1:])
-        new = new.difference(cache)
-        # most words have no closing punctuation and are looked up as they are
-        made = [(w, *self._parts(w)) for w in new if w[-1:] in _ENDS or "\n" in w]
-        made = [m for m in made if m[2]]
-        whole = new.difference([m[0] for m in made])
-        whole.update(m[1] for m in made if m[1] not in cache)
-        strings = {p for m in made for p in m[2]}.difference(bare)
-        strings.update(c[0] for c in cut)
-        whole, strings = list(whole), list(strings)
-        found = self._library([" " + w for w in whole] + strings)
-        cache.update(zip(whole, found, strict=False))
-        bare.update(zip(strings, found[len(whole) :], strict=True))
-        for w, first, rest in made:
-            cache[w] = cache[first] + b"".join([bare[p] for p in rest])
-        return [bare[c[0]] + b"".join([cache[w] for w in c[1:]]) for c in cut]
+            c[0] = None  # has no blank before it and is encoded each time
+        self._learn(list(set().union(*cut).difference(self.cache)))
+        known = self.cache.__getitem__
+        return [head + b"".join(map(known, c)) for head, c in zip(heads, cut, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -227,14 +209,16 @@ def compress(ids: np.ndarray, bits: np.ndarray, codes: np.ndarray, stride: int =
     ends = np.cumsum(length)
     starts = ends - length
     total = int(ends[-1]) if len(ids) else 0
-    # each word is moved to its place in the 40 bits that begin at its first byte
-    moved = codes[ids] << (40 - length - (starts & 7)).astype(np.uint64)
-    at = starts >> 3
-    out = np.zeros((total + 7) // 8 + 8)
-    for k in range(5):
-        part = (moved >> np.uint64(32 - 8 * k)) & np.uint64(255)
-        out += np.bincount(at + k, part.astype(np.float64), len(out))[: len(out)]
-    return out.astype(np.uint8)[: (total + 7) // 8].tobytes(), starts[::stride]
+    # each code word is moved to its place in the 64 bits in which it begins; what does not fit begins the next 64
+    code, word, room = codes[ids], starts >> 6, 64 - (starts & 63) - length
+    part = np.where(room < 0, code >> np.maximum(-room, 0).astype(np.uint64), code << np.maximum(room, 0).astype(np.uint64))
+    out = np.zeros((total + 63) // 64 + 1, np.uint64)
+    if len(ids):
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        out[word[first]] = np.bitwise_or.reduceat(part, first)
+        over = np.flatnonzero(room < 0)
+        out[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
+    return out.astype(">u8").tobytes()[: (total + 7) // 8], starts[::stride]
 
 
 def expand(payload: bytes, n: int, checkpoints: np.ndarray, table: tuple[np.ndarray, np.ndarray, int], stride: int = STRIDE) -> np.ndarray:
