@@ -17,6 +17,9 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: The same set as a regular expression for one word.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2048
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_root: dict[str, str] = {}
 
@@ -57,9 +60,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same rows; Arrow batches of this session hold ``BATCH_ROWS`` rows at most from now on, as texts are long and each
+    task holds a batch in the JVM and in Python."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH, "0")) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def text_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string); a null text counts as empty."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return bounded_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import slices
+from tessera.llm.common import bounded_batches, slices
 
 TOP = 400
 #: Languages whose counts one task holds before it sends them on.
@@ -125,7 +125,7 @@ class Profiles:
 
 def train(rows: DataFrame, top: int = TOP) -> Profiles:
     """Profiles from rows (lang, text). Counting covers every row; what comes to the driver is ``top`` rows a language."""
-    counts = rows.toDF("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(_count, "lang string, gram int, n long")
+    counts = bounded_batches(rows).toDF("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(_count, "lang string, gram int, n long")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1).filter(F.col("rank") < top)
     return Profiles([tuple(r) for r in ranked.select("lang", "gram", "rank").collect()], top)
@@ -133,7 +133,7 @@ def train(rows: DataFrame, top: int = TOP) -> Profiles:
 
 def predicted(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """The rows of ``docs`` (whose last column is the text) with lang_pred and score instead of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # top rows a language
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(profiles)  # top rows a language
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, top: int = TOP) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float, top: int = TOP) -> DataFrame:
     """The rows of ``docs`` whose text has letters and is at least this near to some language, with the columns of ``docs``."""
     profiles = train(docs.filter(~held_out()).select("lang", "text"), top)
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(profiles)
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
