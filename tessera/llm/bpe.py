@@ -3,7 +3,8 @@
 For every prefix of a piece there is exactly one token that can end its encoding. It is found from shorter prefixes: token t
 may follow the encoding of the rest if BPE, given the bytes of the rest's last token and of t, leaves the two apart. Storing
 that last token for every prefix makes appending exact (only new prefixes are computed), and makes re-encoding after an edit
-start at the edit. Prefixes are kept across pieces, so words with a common beginning share their work.
+start at the edit. Prefixes are kept across pieces, so words with a common beginning share their work; of a short piece only
+the prefixes before a token that may end a longer one are looked at, the others are filled in when a piece needs them.
 
 A text is cut into pieces by the pattern; cutting first at single blanks between two characters that are not white space
 never changes the pieces, since a piece holds a blank only at its start or within white space. Each distinct word is encoded
@@ -117,9 +118,9 @@ class PrefixBPE:
         self._apart[left, right] = answer
         return answer
 
-    def _find_last(self, prefix: bytes) -> int:
-        """The last token of a prefix from those of the shorter prefixes in the cache."""
-        n, ranks, last, known = len(prefix), self.ranks, self._last, self._apart
+    def _last_of(self, prefix: bytes) -> int:
+        """The last token of a prefix, from those of the shorter prefixes that may stand before a token; all are stored."""
+        last, ranks, known, n = self._last, self.ranks, self._apart, len(prefix)
         for size in self._sizes.get(prefix[-3:], (2, 1)):
             if size > n:
                 continue
@@ -127,13 +128,18 @@ class PrefixBPE:
             if token is None:
                 continue
             if size == n:
-                if self.valid(token):
-                    return token
-                continue
-            left = last[prefix[: n - size]]
-            answer = known.get((left, token))
-            if self.apart(left, token) if answer is None else answer:
-                return token
+                if not self.valid(token):
+                    continue
+            else:
+                before = prefix[: n - size]
+                left = last.get(before)
+                if left is None:
+                    left = self._last_of(before)
+                answer = known.get((left, token))
+                if not (self.apart(left, token) if answer is None else answer):
+                    continue
+            last[prefix] = token
+            return token
         raise ValueError("the ranks lack a single byte")
 
     def extend(self, piece: bytes, lasts: list[int], to: int | None = None) -> list[int]:
@@ -168,15 +174,12 @@ class PrefixBPE:
         last = self._last
         if len(last) > CACHE:
             last.clear()
-        n = len(piece)
-        while n and piece[:n] not in last:
-            n -= 1
-        for n in range(n + 1, len(piece) + 1):
-            prefix = piece[:n]
-            last[prefix] = self._find_last(prefix)
         out, n = [], len(piece)
         while n:
-            token = last[piece[:n]]
+            prefix = piece[:n]
+            token = last.get(prefix)
+            if token is None:
+                token = self._last_of(prefix)
             out.append(token)
             n -= len(self.bytes_of[token])
         return out[::-1]
