@@ -8,7 +8,7 @@ the prefixes before a token that may end a longer one are looked at, the others
 
 A text is cut into pieces by the pattern; cutting first at single blanks between two characters that are not white space
 never changes the pieces, since a piece holds a blank only at its start or within white space. Each distinct word is encoded
-once per worker while the bounded cache lasts.
+once per task while the bounded cache lasts.
 
 Nulls: a null text is an empty text with no ids; a null doc_id keeps its row; repeated rows are encoded each; an empty table
 gives no rows. Unpaired surrogates cannot occur in Spark strings.
@@ -239,6 +239,11 @@ class TextCodec:
             cache[w] = self._said(" " + w)
         return self._said(first) + "".join(map(cache.__getitem__, rest))
 
+    def forget(self) -> None:
+        """Empty the caches: a worker that waits for other work holds only the ranks."""
+        for cache in (self.cache, self.bpe._last, self.bpe._apart):
+            cache.clear()
+
     def decode(self, said: str) -> bytes:
         return b"".join(map(self.bytes_of_word.__getitem__, said.split()))
 
@@ -255,13 +260,16 @@ def _codec(path: str, pattern: str) -> TextCodec:
 def _encoded(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
-        for batch in slices(batches, 64):
-            said = [codec.encode(t) for t in batch.column(1).to_pylist()]
-            counts = [s.count(" ") for s in said]
-            digests = [hashlib.sha256(s[:-1].encode()).hexdigest() for s in said]
-            decoded = [hashlib.sha256(codec.decode(s)).hexdigest() for s in said]
-            ids = [pa.array([[int(i) for i in s.split()] for s in said], pa.list_(pa.int32()))] if with_ids else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), *ids], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+        try:
+            for batch in slices(batches, 64):
+                said = [codec.encode(t) for t in batch.column(1).to_pylist()]
+                counts = [s.count(" ") for s in said]
+                digests = [hashlib.sha256(s[:-1].encode()).hexdigest() for s in said]
+                decoded = [hashlib.sha256(codec.decode(s)).hexdigest() for s in said]
+                ids = [pa.array([[int(i) for i in s.split()] for s in said], pa.list_(pa.int32()))] if with_ids else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), *ids], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+        finally:
+            codec.forget()
 
     return run
 
