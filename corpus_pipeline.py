@@ -13,6 +13,7 @@ from tessera.llm.common import documents, materialize
 from tessera.llm.queries import tokenizer_path, tokenizer_pattern
 
 #: A text nearer to no language than this is rejected (0 is nothing in common, 1 the profile itself).
+#: What rejects foreign texts and noise is the share of 3-grams that are in some profile: langid.LEAST_KNOWN.
 LEAST_LANGUAGE = 0.05
 #: Near copies: shingles of five words, 256-bit fingerprints. Shingle similarity 0.8 means an angle of 27 degrees, on average
 #: 39 differing bits with a standard deviation of 6; linked is what differs in one deviation more or less.

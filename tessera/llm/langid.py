@@ -28,6 +28,9 @@ from pyspark.sql.window import Window
 from tessera.llm.common import bounded_batches, slices
 
 TOP = 400
+#: A text is in no learned language if it knows less than this part of the 3-grams that texts of its nearest language know, and
+#: if that is no chance (this many standard deviations).
+LEAST_KNOWN, SURE = 1 / 3, 3.0
 #: Languages whose counts one task holds before it sends them on.
 _HELD = 64
 _B2, _B3 = 64, 64 + 64 * 64
@@ -95,9 +98,10 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Profiles:
     """Ranks of the n-grams of some language's profile: one row a language."""
 
-    def __init__(self, rows: Iterable[tuple[str, int, int]], top: int = TOP):
+    def __init__(self, rows: Iterable[tuple[str, int, int]], top: int = TOP, known: dict[str, float] | None = None):
         rows = list(rows)
         self.top = top
+        self.known = known or {}  # by language: share of its 3-grams, repeats counted, that are in its profile
         self.languages = sorted({r[0] for r in rows}, key=lambda x: x.encode("utf-32-be"))
         self.grams = np.array(sorted({r[1] for r in rows}), np.int64)
         self.rank = np.full((len(self.languages), len(self.grams)), -1, np.int64)
@@ -107,7 +111,26 @@ class Profiles:
         self.index[self.grams] = np.arange(len(self.grams))
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self._nearest(ngrams(text or ""))
+
+    def belongs(self, text: str | None, least: float) -> bool:
+        """Whether the text has letters, is at least this near to some language and has enough of its 3-grams in a profile.
+
+        3-grams in no profile, which take no rank in the score, count fully here. Too few to tell are enough.
+        """
         found = ngrams(text or "")
+        lang, score = self._nearest(found)
+        if lang == "und" or score < least:
+            return False
+        three = found[found >= _B3]
+        n, z2 = len(three), SURE * SURE
+        if not n:
+            return True
+        share = float((self.index[three] >= 0).mean())
+        most = (share + z2 / (2 * n) + SURE * ((share * (1 - share) + z2 / (4 * n)) / n) ** 0.5) / (1 + z2 / n)
+        return most >= LEAST_KNOWN * self.known.get(lang, 0.0)
+
+    def _nearest(self, found: np.ndarray) -> tuple[str, float]:
         if not len(found) or not self.languages:
             return "und", 0.0
         known = self.index[found]
@@ -127,8 +150,14 @@ def train(rows: DataFrame, top: int = TOP) -> Profiles:
     """Profiles from rows (lang, text). Counting covers every row; what comes to the driver is ``top`` rows a language."""
     counts = bounded_batches(rows).toDF("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(_count, "lang string, gram int, n long")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1).filter(F.col("rank") < top)
-    return Profiles([tuple(r) for r in ranked.select("lang", "gram", "rank").collect()], top)
+    three = F.when(F.col("gram") >= _B3, F.col("n")).otherwise(0)
+    ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1)
+    ranked = ranked.withColumn("three", three).withColumn("threes", F.sum("three").over(Window.partitionBy("lang"))).filter(F.col("rank") < top)
+    rows = ranked.select("lang", "gram", "rank", "three", "threes").collect()
+    known: dict[str, float] = {}
+    for r in rows:
+        known[r.lang] = known.get(r.lang, 0.0) + r.three / max(r.threes, 1)
+    return Profiles([(r.lang, r.gram, r["rank"]) for r in rows], top, known)
 
 
 def predicted(docs: DataFrame, profiles: Profiles) -> DataFrame:
@@ -157,14 +186,13 @@ def identify(docs: DataFrame, top: int = TOP) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float, top: int = TOP) -> DataFrame:
-    """The rows of ``docs`` whose text has letters and is at least this near to some language, with the columns of ``docs``."""
+    """The rows of ``docs`` whose text is in a learned language (see ``Profiles.belongs``), with the columns of ``docs``."""
     profiles = train(docs.filter(~held_out()).select("lang", "text"), top)
     shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(profiles)
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found]))
+            yield batch.filter(pa.array([shared.value.belongs(t, least) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

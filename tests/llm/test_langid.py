@@ -52,3 +52,23 @@ def test_held_out_accuracy_and_odd_rows(spark, make_docs):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", __import__("pyspark").sql.functions.lit(None).cast("string"))).collect()} == {"und"}
     kept = langid.keep_identified(docs, 0.05)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id and r.doc_id >= 900) == [903]
+
+
+def test_foreign_and_junk_texts_are_rejected(spark):
+    """Real documents all stay; texts in no learned language and noise go. A single letter is too little to tell."""
+    rng = np.random.default_rng(2)
+    noise = lambda letters, n, size: " ".join("".join(rng.choice(list(letters), size)) for _ in range(n))
+    junk = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+        "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+        "すべての人間は生まれながらにして自由でありかつ尊厳と権利とについて平等である",
+        noise("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 1, 800),
+        noise("abcdefghijklmnopqrstuvwxyz", 100, 6),
+        noise("zqxj", 100, 5),
+    ]
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    extra = spark.createDataFrame([(-1 - i, x, None, None, None) for i, x in enumerate([*junk, "x"])], real.schema)
+    kept = {r.doc_id for r in langid.keep_identified(real.unionByName(extra), 0.05).select("doc_id").collect()}
+    has_letters = {r.doc_id for r in langid.identify(real).collect() if r.lang_pred != "und"}
+    assert kept == has_letters | {-1 - len(junk)}
