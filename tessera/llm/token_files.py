@@ -55,11 +55,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         pre = made.get("pre_tokenizer") or {}
-        self.cuts = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and all(t.get("special") for t in made.get("added_tokens", []))
+        self.cuts = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.added = [t["content"] for t in made.get("added_tokens", [])]
         small = self.library.get_vocab_size() <= 1 << 16
         self.kind, self._item = ("<u2", "H") if small else ("<u4", "I")
         self.begins = np.zeros(self.library.get_vocab_size(), bool)
@@ -86,6 +86,8 @@ class Encoder:
             return self._library(texts)
         if len(self.cache) > CACHE:
             self.cache = {None: b""}
+        if any(a in t for a in self.added for t in texts):  # the library cuts added tokens out first
+            return [(self._library if any(a in t for a in self.added) else self.encode)([t])[0] for t in texts]
         cut = [words(t) for t in texts]
         heads = self._library([c[0] for c in cut])
         for c in cut:
@@ -127,21 +129,22 @@ def _pack(size: int):
     """Documents in order in, blocks of whole documents out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block, first, docs, lengths, parts, width = None, 0, 0, [], [], [], 2
+        shard, block, first, docs, lengths, parts, width, held = None, 0, 0, [], [], [], 2, 0
 
         def out() -> pa.RecordBatch:
-            row = {"shard": shard, "block": block, "first": first, "n": sum(lengths), "width": width, "doc_ids": docs, "lengths": lengths, "ids": b"".join(parts)}
+            row = {"shard": shard, "block": block, "first": first, "n": held, "width": width, "doc_ids": docs, "lengths": lengths, "ids": b"".join(parts)}
             return pa.RecordBatch.from_pylist([row], schema=_RAW_ARROW)
 
         for batch in slices(batches):
             for s, doc, ids, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if docs and (s != shard or sum(lengths) >= size):
+                if docs and (s != shard or held >= size):
                     yield out()
-                    block, first = (block + 1, first + sum(lengths)) if s == shard else (0, 0)
-                    docs, lengths, parts = [], [], []
+                    block, first = (block + 1, first + held) if s == shard else (0, 0)
+                    docs, lengths, parts, held = [], [], [], 0
                 shard, width = s, w
                 docs.append(doc)
                 lengths.append(len(ids) // w)
+                held += lengths[-1]
                 parts.append(ids)
         if docs:
             yield out()

@@ -13,14 +13,15 @@ PATH = P.path("byte_bpe_50k.json")
 
 
 def library(texts):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+
+
+SPECIAL = ["x<|endoftext|> y", "a <|endoftext|> b", "<|endoftext|>", "word<|endoftext|>word", "a\n<|endoftext|>\n\nb", "<|endoftext|><|endoftext|> ", "<|endof text|> no"]
 
 
 def test_word_cache_gives_the_library_ids():
     random.seed(9)
-    texts = ODD + ["".join(random.choices("aabcdeorstnil  \n\n\t'éß1.,-!?:;🙂日  ", k=random.randrange(1, 60))) for _ in range(3000)] + ["a. b, c.\nD e.\n\nF .. g!? h.\n.i", "x<|endoftext|> y"]
+    texts = ODD + ["".join(random.choices("aabcdeorstnil  \n\n\t'éß1.,-!?:;🙂日  ", k=random.randrange(1, 60))) for _ in range(3000)] + ["a. b, c.\nD e.\n\nF .. g!? h.\n.i", *SPECIAL]
     e = tf.Encoder(PATH)
     assert e.cuts
     got = [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)]
@@ -65,7 +66,7 @@ def test_round_trip_of_blocks():
 
 
 def test_files(spark, make_docs):
-    rows = [(i * 7, t) for i, t in enumerate(ODD)] + [(3, None), (None, "no id"), (5, "w " * 3000), (7, "same id"), (2000, "x\n")]
+    rows = [(i * 7, t) for i, t in enumerate(ODD + SPECIAL)] + [(3, None), (None, "no id"), (5, "w " * 3000), (7, "same id"), (2000, "x\n")]
     path = tf.write_tokens(make_docs(rows), PATH, block=64)
     got = sorted(tf.read_tokens(spark, path, True).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
