@@ -23,29 +23,83 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import words
 from tessera.llm.common import count_partitions, materialize, released_shuffles, scratch, slices, text_of
 
 BLOCK = 1 << 17
 STRIDE = 128
 LIMIT = 18
-CACHE = 1_600_000
-#: Words a line that goes to the library, and how byte-level vocabularies write a blank.
+#: Units that a worker keeps, and bytes of text that are cut in one go.
+CACHE, _LOT = 1_600_000, 4 << 20
+#: Units a line that goes to the library, and how byte-level vocabularies write a blank.
 _LINE, _BLANK = 256, "\u0120"
 
 
 # --- encoding texts
 
+#: Classes of characters: letters, digits, other ASCII, apostrophes, white space, blanks, others that are no white space, and
+#: those of which nothing is assumed.
+_L, _N, _P, _Q, _W, _B, _U, _X = range(8)
+
+
+def _classes() -> np.ndarray:
+    """By first byte of a character."""
+    table = np.full(256, _U, np.uint8)
+    for c in range(128):
+        table[c] = _L if chr(c).isalpha() else _N if chr(c).isdigit() else _P if 32 < c < 127 else _X
+    table[[9, 10, 13]], table[32], table[39] = _W, _B, _Q
+    table[0xC3:0xCA] = _L  # U+00C0 to U+024F are letters but for two
+    table[[0xC2, 0xE1]] = _X
+    return table
+
+
+_CLASS = _classes()
+
+
+def unit_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where to cut UTF-8 texts that stand one behind the other, so that the byte-level pattern has the same matches in each
+    part alone as in the whole text.
+
+    data: all bytes; begins: where each text that is not empty begins. A run of letters or digits ends before any other
+    character, one of other signs before all but apostrophes, and what is no white space before white space. Of white space
+    before something else the last character stands alone, or with what follows if it is a blank. Next to characters that
+    may or may not be white space nothing is cut.
+    """
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at]
+    c = _CLASS[lead]
+    high = np.flatnonzero((lead == 0xC3) | (lead == 0xE2) | (lead == 0xE3))
+    if len(high):
+        first, second = lead[high], data[np.minimum(at[high] + 1, len(data) - 1)]
+        c[high[(first == 0xC3) & ((second == 0x97) | (second == 0xB7))]] = _U
+        c[high[((first == 0xE2) & (second <= 0x81)) | ((first == 0xE3) & (second == 0x80))]] = _X
+    n = len(c)
+    first = np.zeros(n, bool)
+    first[np.searchsorted(at, begins)] = True
+    white, sure = (c == _W) | (c == _B), c != _X
+    solid = ~white & sure
+    before, after = np.concatenate((c[:1], c[:-1])), np.concatenate((solid[1:] & ~first[1:], [False]))
+    was_white, was_solid = np.concatenate(([False], white[:-1])), np.concatenate(([False], solid[:-1]))
+    was_sure = np.concatenate(([True], sure[:-1])) | first
+    # two characters back, within the same text
+    sure_twice = np.concatenate(([True], was_sure[:-1])) | np.concatenate(([False], first[:-1]))
+    cut = was_solid & white
+    cut |= (before <= _N) & sure & (c != before) & (c != _U)
+    cut |= (before == _P) & (c <= _N)
+    cut |= was_white & white & after
+    cut |= (before == _W) & solid & sure_twice
+    return at[cut | first]
+
 
 class Encoder:
-    """The tokenizers library behind a cache of words.
+    """The tokenizers library behind a cache of units, see ``unit_starts``.
 
-    Cutting at single blanks between characters that are not white space cuts between pieces of the byte-level pattern only.
-    New words go to the library in lines of many; a word begins at each id whose token begins with a blank. For a tokenizer
-    of any other make whole texts go to the library.
+    New units go to the library, those of a blank and what follows in lines of many: there a unit begins at each id whose
+    token begins with a blank. Texts that hold an added token go to the library whole, and with a tokenizer of any other make
+    all texts do.
     """
 
     def __init__(self, path: str):
@@ -61,40 +115,86 @@ class Encoder:
         self.cuts = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.added = [t["content"] for t in made.get("added_tokens", [])]
         small = self.library.get_vocab_size() <= 1 << 16
-        self.kind, self._item = ("<u2", "H") if small else ("<u4", "I")
+        self.kind, self._item = (np.dtype("<u2"), "H") if small else (np.dtype("<u4"), "I")
         self.begins = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
-            self.begins[i] = token[0] == _BLANK
-        self.cache: dict[str | None, bytes] = {None: b""}  # of words, with the blank before them
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array(self._item, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        odd = [w for w in new if " " in w]  # blanks among other white space
-        self.cache.update(zip(odd, self._library([" " + w for w in odd]), strict=True))
-        plain = [w for w in new if " " not in w] if odd else new
-        lines = [plain[at : at + _LINE] for at in range(0, len(plain), _LINE)]
-        wide = np.dtype(self.kind).itemsize
-        for line, raw in zip(lines, self._library([" " + " ".join(x) for x in lines]), strict=True):
-            at = (np.flatnonzero(self.begins[np.frombuffer(raw, self.kind)]) * wide).tolist()
-            self.cache.update(zip(line, [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian integers of ``kind``."""
-        if not self.cuts:
-            return self._library(texts)
+            self.begins[i] = token[:1] == _BLANK
+        self._empty()
+
+    def _empty(self) -> None:
+        """No units: their numbers, ids one behind the other, and where each unit's ids begin."""
+        self.cache: dict[bytes, int] = {}
+        self.flat, self.used = np.empty(1 << 16, self.kind), 0
+        self.offsets = np.zeros(1 << 12, np.int64)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(array(self._item, e.ids), self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, units: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.cache)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        while n + len(units) + 1 > len(self.offsets):
+            self.offsets = np.concatenate((self.offsets, np.zeros_like(self.offsets)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.offsets[n + 1 : n + 1 + len(units)] = self.used + np.cumsum(lengths)
+        self.used += len(ids)
+        self.cache.update(zip(units, range(n, n + len(units)), strict=True))
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain, odd = [], []
+        for u in new:
+            (plain if u[:1] == b" " and len(u) > 1 and _CLASS[u[1]] <= _Q and b" " not in u[1:] else odd).append(u)
+        if plain:
+            ids = np.concatenate(self._library([b"".join(plain[at : at + _LINE]).decode() for at in range(0, len(plain), _LINE)]))
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(plain):
+                self._keep(plain, ids, np.diff(np.concatenate((starts, [len(ids)]))))
+            else:  # a vocabulary with tokens of several blanks
+                odd += plain
+        if odd:
+            found = self._library([u.decode() for u in odd])
+            self._keep(odd, np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def encode(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (none null) one behind the other, each text's followed by ``end``, and where each text's end."""
+        whole = pa.array([False] * len(texts), pa.bool_())
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        if not self.cuts or pc.any(whole).as_py():
+            return self._by_rows(texts, whole.to_pylist() if self.cuts else [True] * len(texts), end)
         if len(self.cache) > CACHE:
-            self.cache = {None: b""}
-        if any(a in t for a in self.added for t in texts):  # the library cuts added tokens out first
-            return [(self._library if any(a in t for a in self.added) else self.encode)([t])[0] for t in texts]
-        cut = [words(t) for t in texts]
-        heads = self._library([c[0] for c in cut])
-        for c in cut:
-            c[0] = None  # has no blank before it and is encoded each time
-        self._learn(list(set().union(*cut).difference(self.cache)))
-        known = self.cache.__getitem__
-        return [head + b"".join(map(known, c)) for head, c in zip(heads, cut, strict=True)]
+            self._empty()
+        _, offsets, raw = texts.buffers()
+        edges = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(raw, np.uint8)[edges[0] : edges[-1]] if raw else np.empty(0, np.uint8)
+        ends, sizes = edges[1:] - edges[0], np.diff(edges)
+        starts = unit_starts(data, (ends - sizes)[sizes > 0])
+        edges = pa.array(np.append(starts, len(data)), pa.int64())
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, edges.buffers()[1], pa.py_buffer(data)]).dictionary_encode()
+        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = list(map(self.cache.get, distinct))
+        if None in number:
+            self._learn([u for u, n in zip(distinct, number, strict=True) if n is None])
+            number = list(map(self.cache.__getitem__, distinct))
+        number = np.array(number, np.int64)[units.indices.to_numpy()]
+        first, length = self.offsets[number], self.offsets[number + 1] - self.offsets[number]
+        stop = np.cumsum(length)
+        last = np.concatenate(([0], stop))[np.searchsorted(starts, ends)]
+        ids = self.flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(first - stop + length, length)]
+        if end is None:
+            return ids, last
+        return np.insert(ids, last, end), last + np.arange(1, len(texts) + 1)
+
+    def _by_rows(self, texts: pa.StringArray, whole: list[bool], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        parts, last = [np.empty(0, self.kind)], [] if end is None else [np.array([end], self.kind)]
+        sizes = []
+        for at, by_library in enumerate(whole):
+            one = texts.slice(at, 1)
+            ids = [*(self._library(one.to_pylist()) if by_library else [self.encode(one)[0]]), *last]
+            parts += ids
+            sizes.append(sum(map(len, ids)))
+        return np.concatenate(parts), np.cumsum(np.array(sizes, np.int64))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -106,17 +206,29 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _lots(batches: Iterable[pa.RecordBatch], size: int = _LOT) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with about ``size`` bytes of text; a longer text stands alone."""
+    for batch in batches:
+        total = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            n = max(1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right")) - at)
+            yield batch.slice(at, n)
+            at += n
+
+
 def _tokens(path: str, cuts: list[int], end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        last = np.array([end], encoder.kind).tobytes()
         edges = np.array(cuts, np.int64)
-        for batch in slices(batches, 128):
-            ids = [x + last for x in encoder.encode(batch.column(1).to_pylist())]
-            docs = batch.column(0).to_pylist()
-            shard = [0 if d is None else int(np.searchsorted(edges, d, side="right")) for d in docs]
-            width = [np.dtype(encoder.kind).itemsize] * len(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column(0), pa.array(ids, pa.binary()), pa.array(width, pa.int32())], names=["shard", "doc_id", "ids", "width"])
+        wide = encoder.kind.itemsize
+        for batch in _lots(batches):
+            ids, last = encoder.encode(pc.cast(batch.column(1), pa.string()), end)
+            docs = pc.fill_null(batch.column(0), -(1 << 63)).to_numpy(zero_copy_only=False)
+            shard = np.where(batch.column(0).is_valid().to_numpy(zero_copy_only=False), np.searchsorted(edges, docs, side="right"), 0)
+            offsets = pa.array(np.concatenate(([0], last * wide)), pa.int32())
+            column = pa.BinaryArray.from_buffers(pa.binary(), len(docs), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(ids))])
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), batch.column(0), column, pa.array(np.full(len(docs), wide, np.int32))], names=["shard", "doc_id", "ids", "width"])
 
     return run
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from test_bpe import ODD
@@ -19,13 +20,24 @@ def library(texts):
 SPECIAL = ["x<|endoftext|> y", "a <|endoftext|> b", "<|endoftext|>", "word<|endoftext|>word", "a\n<|endoftext|>\n\nb", "<|endoftext|><|endoftext|> ", "<|endof text|> no"]
 
 
+def rows(e, texts, end=None):
+    ids, last = e.encode(pa.array(texts, pa.string()), end)
+    return [x.tolist() for x in np.split(ids, last)[:-1]]
+
+
 def test_word_cache_gives_the_library_ids():
     random.seed(9)
-    texts = ODD + ["".join(random.choices("aabcdeorstnil  \n\n\t'éß1.,-!?:;🙂日  ", k=random.randrange(1, 60))) for _ in range(3000)] + ["a. b, c.\nD e.\n\nF .. g!? h.\n.i", *SPECIAL]
+    alphabets = ["aabcdeorstnil  \n\n\t'éß1.,-!?:;🙂日  ", "aé×÷ª²٣ \n\r\t\x0b\x0c\x1c\x85\xa0\u1680\u2003\u2028\u3000'.s1", "ab'sSdDmtlLvere \n.", "ǅɐʰ́ЖΩ中ー“”–€ a1.\n"]
+    texts = ODD + ["".join(random.choices(a, k=random.randrange(1, 60))) for a in alphabets for _ in range(3000)] + ["a. b, c.\nD e.\n\nF .. g!? h.\n.i", "don't 'tis he'll'll y'all've"]
     e = tf.Encoder(PATH)
     assert e.cuts
-    got = [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)]
-    assert got == library(texts)
+    want = library(texts)
+    assert rows(e, texts) == want
+    assert rows(e, texts[:5000], 7) == [[*x, 7] for x in want[:5000]]
+    pure = library(texts + SPECIAL)
+    assert rows(e, texts[-50:] + SPECIAL, 0) == [[*x, 0] for x in pure[-50 - len(SPECIAL) :]]
+    assert 50256 in library(["a <|endoftext|> b"])[0]
+    assert rows(e, [], 0) == [] and rows(e, [""], 0) == [[0]] and rows(e, ["", "", "a"]) == [[], [], [64]]
 
 
 @pytest.mark.parametrize("limit", [3, 5, 18])
