@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,26 +12,57 @@ EN, DE = "the cat and the dog were at the house with them ", "der hund und die k
 def brute_grams(text):
     marked = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
     marked = " " + " ".join(marked.split()) + " "
-    code = lambda c: 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 36
-    out = []
-    for n in (1, 2, 3):
-        for i in range(len(marked) - n + 1):
-            g = marked[i : i + n]
-            if g.strip():
-                v = 0
-                for c in g:
-                    v = v * 64 + code(c)
-                out.append(v + (0, 64, 64 + 4096)[n - 1])
-    return sorted(out)
+    return sorted(g for n in (1, 2, 3) for i in range(len(marked) - n + 1) if (g := marked[i : i + n]).strip())
 
 
-@pytest.mark.parametrize("text", ["", " ", "a", "  Hello, wörld!! it's 5 o'clock ", "éé\nñ x", "日本 語", EN])
-def test_ngrams(text):
-    assert sorted(langid.ngrams(text).tolist()) == brute_grams(text)
+TEXTS = ["", " ", "a", "  Hello, wörld!! it's 5 o'clock ", "éé\nñ x", "日本 語", "Ω \U00032100 ж", EN]
+
+
+@pytest.mark.parametrize("more", ["", "".join(map(chr, range(0x4E00, 0x5200)))])
+@pytest.mark.parametrize("text", TEXTS)
+def test_ngrams(text, more):
+    letters = sorted({ord(c.lower()[0]) for c in "".join(TEXTS) + more if c.isalpha()})
+    alphabet = langid.Alphabet(letters)
+    assert (alphabet.space > langid._DENSE) == bool(more)
+
+    def said(code):
+        n = 1 if code < alphabet.two else 2 if code < alphabet.three else 3
+        code -= (0, alphabet.two, alphabet.three)[n - 1]
+        digits = [code // alphabet.base**k % alphabet.base for k in range(n)][::-1]
+        return "".join(" " if d == 0 else chr(letters[d - 1]) for d in digits)
+
+    assert sorted(map(said, alphabet.ngrams(text).tolist())) == brute_grams(text)
+    few = langid.Alphabet([97, 98])
+    assert len(few.ngrams(text)) == len(brute_grams(text)) and few.ngrams("z").tolist()[0] == 3
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_predictions_against_brute_force(spark, make_docs, dense, monkeypatch):
+    """The whole query, from character n-grams counted in plain Python; four scripts, so that codes of either kind are met."""
+    if not dense:
+        monkeypatch.setattr(langid, "_DENSE", 1)
+    kinds = {"en": EN, "de": DE, "ru": "кот и собака были в доме с ними всегда ", "el": "η γάτα και ο σκύλος ήταν στο σπίτι "}
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(kinds[lang].split(), rng.integers(1, 25))), lang, None, None) for i, lang in ((i, list(kinds)[i % 4]) for i in range(120))]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    order = lambda g: (len(g), [0 if c == " " else ord(c) for c in g])
+    top = 60
+    profiles = {}
+    for lang in kinds:
+        n = Counter(g for i, t, k, *_ in rows if k == lang and not held(i) for g in brute_grams(t))
+        profiles[lang] = {g: r for r, g in enumerate(sorted(n, key=lambda g: (-n[g], order(g)))[:top])}
+    every = set().union(*profiles.values())
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), top).collect()}
+    for i, t, *_ in rows:
+        n = Counter(g for g in brute_grams(t) if g in every)
+        mine = sorted(n, key=lambda g: (-n[g], order(g)))[:top]
+        distance = {k: sum(min(abs(p[g] - r), top) if g in p else top for r, g in enumerate(mine)) for k, p in profiles.items()}
+        best = min(sorted(kinds), key=distance.__getitem__)
+        assert (got[i].lang_pred, got[i].held_out) == (best, held(i)) and got[i].score == pytest.approx(1 - distance[best] / (top * len(mine)))
 
 
 def test_distance_matches_definition():
-    p = langid.Profiles([("a", 1, 0), ("a", 2, 1), ("b", 2, 0), ("b", 3, 1)], top=2)
+    p = langid.Profiles([("a", 1, 0), ("a", 2, 1), ("b", 2, 0), ("b", 3, 1)], langid.Alphabet(map(ord, "abc")), top=2)
     lang, score = p.predict("abb")  # a: 1, b: 2, and other n-grams in no profile
     # ranks of the text: b (code 2), a (code 1); to a: |1-0| + |0-1| = 2, to b: |0-0| + 2 = 2; a is first
     assert (lang, score) == ("a", 1 - 2 / 4)
