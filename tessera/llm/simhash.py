@@ -8,7 +8,8 @@ Which fingerprints meet is decided by keys, each a set of bit positions on which
 * ``pigeonhole_tables`` (64 bits, radius 2) is exact. The bits fall into three blocks, of which two differing bits leave one
   untouched; the other two blocks fall into three blocks again, so that every linked pair shares one of nine keys of
   35 bits or more. 2**35 keys keep buckets near one fingerprint for billions of documents.
-* ``sampled_tables`` (256 bits, large radius) shares a key with a known probability, see there.
+* ``sampled_tables`` (256 bits, large radius) shares a key with a known probability, see there. What these propose is then
+  decided by the sets of shingles themselves (``similar_groups``).
 
 Inside a bucket the fingerprints are turned into vertical bit planes: word w of plane j holds bit j of 64 fingerprints.
 A query is compared with 64 fingerprints at a time; three planes go through a full adder into carry-save counters, and a
@@ -66,7 +67,10 @@ def _expand(h: np.ndarray, words: int) -> np.ndarray:
 
 def fingerprint(raw: bytes, width: int = 3, words: int = 1) -> bytes:
     """The fingerprint, most significant byte first, in 8 * ``words`` bytes."""
-    h = shingle_hashes(raw, width)
+    return _majority(shingle_hashes(raw, width), words)
+
+
+def _majority(h: np.ndarray, words: int) -> bytes:
     total = np.zeros(64 * words, np.int64)
     for at in range(0, len(h), 4096):
         part = np.ascontiguousarray(_expand(h[at : at + 4096], words).astype(">u8"))
@@ -87,9 +91,9 @@ def pigeonhole_tables() -> list[np.ndarray]:
     return tables
 
 
-def sampled_tables(bits: int = 256, key_bits: int = 16, tables: int = 32, seed: int = 7) -> list[np.ndarray]:
+def sampled_tables(bits: int = 256, key_bits: int = 16, tables: int = 64, seed: int = 7) -> list[np.ndarray]:
     """Random sets of positions. Two texts at an angle t agree on a bit with probability 1 - t / pi, so a pair of shingle
-    similarity 0.8 (0.85, 0.9) shares a key with probability 0.91 (0.98, 0.998) at the defaults."""
+    similarity 0.8 (0.85, 0.9) shares a key with probability 0.991 (0.9996, 1.0) at the defaults."""
     rng = np.random.default_rng(seed)
     return [np.sort(rng.choice(bits, key_bits, replace=False)) for _ in range(tables)]
 
@@ -103,11 +107,54 @@ def _fingerprints(width: int, words: int):
     return run
 
 
-def _keys(tables: list[np.ndarray]):
+def _set_prints(width: int, words: int):
+    """(doc_id, fp): the fingerprint of the set of shingles, followed by a digest of that set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            prints = [_set_print(np.unique(shingle_hashes(raw, width)), words) for raw in utf8_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=["doc_id", "fp"])
+
+    return run
+
+
+def _set_print(shingles: np.ndarray, words: int) -> bytes:
+    return _majority(shingles, words) + xxhash.xxh3_128_digest(shingles.astype("<u8").tobytes())
+
+
+def _shingle_sets(width: int, words: int):
+    """(fp, shingles) of texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(raw, width)) for raw in utf8_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_print(x, words) for x in sets], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["fp", "shingles"])
+
+    return run
+
+
+def _similar(least: float):
+    """Rows (a, b, x, y) with the shingle sets x and y in; (a, b, similar) out."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = np.sort(np.concatenate((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"))))
+                common = int((both[1:] == both[:-1]).sum())
+                out.append(common >= least * (len(both) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["a", "b", "similar"])
+
+    return run
+
+
+def _keys(tables: list[np.ndarray], size: int | None = None):
+    """(key, fp) for every table; of a longer fp the first ``size`` bytes are the fingerprint."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
             prints = batch.column(0).to_pylist()
-            bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1), axis=1)
+            bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)[:, :size], axis=1)
             keys = []
             for t, at in enumerate(tables):
                 powers = np.left_shift(np.int64(1), np.arange(len(at), dtype=np.int64))
@@ -206,57 +253,97 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def _forest(radius: int):
-    """Sorted (key, a, b, chunk, fp) rows in; links (fp, fp) that join what is within the radius out."""
+def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As ``merge_labels``; gives the pairs (by place) that joined two labels, a spanning forest of the pairs' graph."""
+    out = []
+    while True:
+        la, lb = label[a], label[b]
+        differ = np.flatnonzero(la != lb)
+        if not len(differ):
+            return np.concatenate(out) if out else np.empty(0, np.int64)
+        hi, lo = np.maximum(la[differ], lb[differ]), np.minimum(la[differ], lb[differ])
+        roots, first = np.unique(hi, return_index=True)
+        label[roots] = lo[first]
+        out.append(differ[first])
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
+
+
+def _forest(radius: int, size: int | None = None, apart: bool = False):
+    """Sorted (key, a, b, chunk, fp[, label]) rows in; pairs (fp, fp) within the radius out that span what all pairs join, or,
+    ``apart``, all pairs whose labels differ."""
 
-    def compare(rows: list[tuple]) -> pa.RecordBatch | None:
+    def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         prints = [r[4] for r in rows]
-        bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(rows), -1), axis=1)
+        bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(rows), -1)[:, :size], axis=1)
         names = [r[:3] for r in rows]
         change = np.array([True] + [x != y for x, y in zip(names[1:], names, strict=False)])
         a, b, chunk = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-        label = np.arange(len(rows))
-        for x, y in within(bits, np.cumsum(change) - 1, (chunk == b).astype(np.int64), a != b, radius):
-            merge_labels(label, x, y)
-        moved = np.flatnonzero(label != np.arange(len(rows)))
-        if not len(moved):
-            return None
+        label = np.unique([r[5] for r in rows], return_inverse=True)[1] if apart else np.arange(len(rows))
         own = np.array(prints, dtype=object)
-        return pa.RecordBatch.from_arrays([pa.array(own[moved].tolist(), pa.binary()), pa.array(own[label[moved]].tolist(), pa.binary())], names=["a", "b"])
+        for x, y in within(bits, np.cumsum(change) - 1, (chunk == b).astype(np.int64), a != b, radius):
+            if apart:
+                keep = np.flatnonzero((label[x] != label[y]) & (own[x] < own[y])) if len(x) else x
+                # a pair of two chunks is met in one order only
+                other = np.flatnonzero((label[x] != label[y]) & (a[x] != b[x]) & (own[x] > own[y])) if len(x) else x
+                x, y = np.concatenate((x[keep], y[other])), np.concatenate((y[keep], x[other]))
+            else:
+                new = spanning(label, x, y)
+                x, y = x[new], y[new]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(own[x].tolist(), pa.binary()), pa.array(own[y].tolist(), pa.binary())], names=["a", "b"])
+
+    columns = ("key", "a", "b", "chunk", "fp", *["label"] * apart)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # whole groups
         group: list[tuple] = []
         for batch in slices(batches, 4096):
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "chunk", "fp")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if group and group[0][:3] != row[:3]:
                     if len(group) > 1:
                         held += group
                     group = []
                     if len(held) >= _ROWS // 4:
-                        if (out := compare(held)) is not None:
-                            yield out
+                        yield from compare(held)
                         held = []
                 group.append(row)
         if len(group) > 1:
             held += group
-        if held and (out := compare(held)) is not None:
-            yield out
+        if held:
+            yield from compare(held)
 
     return run
 
 
-def near_links(spark: SparkSession, prints: DataFrame, tables: list[np.ndarray], radius: int, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``prints(fp)``; their components are those of all pairs within the radius
-    that share a key."""
-    keyed = prints.mapInArrow(_keys(tables), "key long, fp binary")
+def near_links(spark: SparkSession, prints: DataFrame, tables: list[np.ndarray], radius: int, tile: int = TILE, size: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``prints(fp[, label])``; their components are those of all pairs within the
+    radius that share a key. With labels, all pairs whose labels differ, some of them repeatedly."""
+    apart = "label" in prints.columns
+    keyed = prints.select("fp").mapInArrow(_keys(tables, size), "key long, fp binary")
     # a table of its own, so that the join has two plain exchanges and can split a key with many fingerprints
     crowd = materialize(spark, keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "crowded-keys")
     j = keyed.join(crowd, "key").select("key", "fp", F.ceil(F.col("n") / tile).cast("int").alias("chunks"))
+    if apart:
+        j = j.join(prints, "fp")
     j = j.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     j = j.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiled = j.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "fp")
-    return tiled.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_forest(radius), "a binary, b binary")
+    tiled = j.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "fp", *["label"] * apart)
+    return tiled.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_forest(radius, size, apart), "a binary, b binary")
+
+
+def _labelled(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes(fp) with the component of each; one without links is its own."""
+    found = connected_components(spark, links.select("a", "b")).toDF("fp", "label")
+    return materialize(spark, nodes.join(found, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "labels")
+
+
+def _lowest(spark: SparkSession, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(fp, component_id): the smallest least_id of each label, for nodes(fp, least_id) and labels(fp, label)."""
+    own = materialize(spark, nodes.join(labels, "fp").select("fp", "label", "least_id"), "labelled")
+    # one label may hold a third of all nodes: minima are a table of their own, so that the join can be split
+    least = materialize(spark, own.groupBy("label").agg(F.min("least_id").alias("component_id")), "group-minima")
+    return own.join(least, "label").select("fp", "component_id")
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, words: int = 1, radius: int = 2, tables: list[np.ndarray] | None = None, tile: int = TILE) -> DataFrame:
@@ -264,9 +351,44 @@ def simhash_groups(docs: DataFrame, width: int = 3, words: int = 1, radius: int
     spark = docs.sparkSession
     prints = materialize(spark, text_of(docs).mapInArrow(_fingerprints(width, words), "doc_id long, fp binary"), "fingerprints")
     distinct = materialize(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    found = connected_components(spark, near_links(spark, distinct.select("fp"), tables or pigeonhole_tables(), radius, tile))
-    found = materialize(spark, found.toDF("fp", "component"), "components")
-    own = distinct.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = own.join(found.select("fp").distinct(), "fp", "left_semi").groupBy("component").agg(F.min("least_id").alias("group_least"))
-    ids = own.join(least, "component", "left").select("fp", F.coalesce("group_least", "least_id").alias("component_id"))
+    links = near_links(spark, distinct.select("fp"), tables or pigeonhole_tables(), radius, tile)
+    ids = materialize(spark, _lowest(spark, distinct, _labelled(spark, distinct.select("fp"), links)), "components")
     return prints.join(ids, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def similar_groups(docs: DataFrame, similarity: float, width: int, words: int, radius: int, tables: list[np.ndarray], tile: int = TILE) -> DataFrame:
+    """doc_id, component_id (smallest doc_id that can be reached) for every row; texts are linked if their sets of shingles
+    have this Jaccard similarity, among those whose fingerprints share a key and lie within the radius.
+
+    Fingerprints propose, the sets of shingles decide. First one spanning forest of the proposed pairs is checked. Where a pair
+    of it fails, all proposed pairs around it that the good ones have not joined yet are checked as well, so that no good pair
+    is missed. Texts with the same set of shingles are one node; a text without words is linked with its like only.
+    """
+    spark, size = docs.sparkSession, 8 * words
+    texts = text_of(docs)
+    prints = materialize(spark, texts.mapInArrow(_set_prints(width, words), "doc_id long, fp binary"), "fingerprints")
+    nodes = materialize(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+
+    def checked(links: DataFrame) -> DataFrame:
+        links = materialize(spark, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+        ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
+        wanted = nodes.join(ends, "fp", "left_semi").select(F.col("least_id").alias("doc_id")).distinct()
+        # the same id may have several texts; those that are not asked for meet no pair
+        found = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
+        sets = found.mapInArrow(_shingle_sets(width, words), "fp binary, shingles binary")
+        sets = materialize(spark, sets.groupBy("fp").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+        j = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return materialize(spark, j.mapInArrow(_similar(similarity), "a binary, b binary, similar boolean"), "checked")
+
+    first = checked(near_links(spark, nodes.select("fp"), tables, radius, tile, size))
+    good, bad = first.filter("similar"), first.filter("NOT similar")
+    labels = _labelled(spark, nodes.select("fp"), good)
+    if not bad.isEmpty():
+        # what hangs together by proposals, one of which failed
+        around = _labelled(spark, nodes.select("fp"), first)
+        open_ = around.join(bad.select(F.col("a").alias("fp")).distinct(), "fp", "left_semi").select("label").distinct()
+        open_ = materialize(spark, around.join(open_, "label", "left_semi").select("fp").join(labels, "fp"), "unsettled")
+        more = near_links(spark, open_, tables, radius, tile, size).distinct().join(bad.select("a", "b"), ["a", "b"], "left_anti")
+        labels = _labelled(spark, nodes.select("fp"), good.select("a", "b").unionByName(checked(more).filter("similar").select("a", "b")))
+    ids = materialize(spark, _lowest(spark, nodes, labels), "components")
+    return prints.join(ids, "fp").select("doc_id", "component_id")
