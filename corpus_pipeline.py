@@ -15,9 +15,9 @@ from tessera.llm.queries import tokenizer_path, tokenizer_pattern
 #: A text nearer to no language than this is rejected (0 is nothing in common, 1 the profile itself).
 #: What rejects foreign texts and noise is the share of 3-grams that are in some profile: langid.LEAST_KNOWN.
 LEAST_LANGUAGE = 0.05
-#: Near copies: shingles of five words, 256-bit fingerprints. Shingle similarity 0.8 means an angle of 27 degrees, on average
-#: 39 differing bits with a standard deviation of 6; linked is what differs in one deviation more or less.
-SHINGLE, PRINT_WORDS, RADIUS = 5, 4, 45
+#: Near copies: sets of shingles of five words with a similarity of 0.8. Fingerprints of 256 bits propose pairs: similarity 0.8
+#: means an angle of 27 degrees, on average 39 differing bits with a standard deviation of 6, so that 99 % lie within the radius.
+SHINGLE, SIMILARITY, PRINT_WORDS, RADIUS = 5, 0.8, 4, 53
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document (smallest id) of each group of near copies."""
-    groups = simhash.simhash_groups(docs, SHINGLE, PRINT_WORDS, RADIUS, simhash.sampled_tables())
+    groups = simhash.similar_groups(docs, SIMILARITY, SHINGLE, PRINT_WORDS, RADIUS, simhash.sampled_tables())
     gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     # never broadcast: nothing bounds the number of copies
     return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
