@@ -33,16 +33,16 @@ SAME = """
     weekofyear year weekday array array_contains array_distinct array_except array_intersect array_max array_min array_position
     array_remove array_repeat array_sort array_union arrays_overlap arrays_zip explode explode_outer posexplode flatten sequence
     shuffle size slice sort_array create_map map_concat map_keys map_values isnotnull now date_add date_sub add_months
-    substring trunc array_append array_compact nullif ifnull
+    substring array_append array_compact nullif ifnull
 """.split()
 
 #: Other spellings of the same functions.
 ALIASES = {
     "dateofweek": "dayofweek", "toDegrees": "degrees", "toRadians": "radians", "arcsin": "asin", "arccos": "acos", "arctan": "atan",
     "arctan2": "atan2", "deg2rad": "radians", "rad2deg": "degrees", "power": "pow", "sign": "signum", "absolute": "abs", "fabs": "abs",
-    "isNull": "isnull", "isNotNull": "isnotnull", "len": "length", "capitalize": "initcap", "title": "initcap", "casefold": "lower",
-    "lstrip": "ltrim", "rstrip": "rtrim", "strip": "trim", "strip_accents2": "strip_accents", "today": "current_date", "utcnow": "now",
-    "array_cast": "cast_array", "size_of": "size", "mod": "modulo", "fix": "truncate", "startsWith": "startswith", "endsWith": "endswith",
+    "isNull": "isnull", "isNotNull": "isnotnull", "len": "length", "strip_accents2": "strip_accents", "today": "current_date", "utcnow": "now",
+    "array_cast": "cast_array", "size_of": "size", "mod": "remainder", "fix": "truncate", "startsWith": "startswith", "endsWith": "endswith",
+    "true_divide": "divide", "rindex": "rfind", "basestring": "str", "not_equals": "not_equal", "equals": "equal",
 }
 
 _TYPES = {"integer": "int", "decimal": "double", "text": "string", "character": "string", "datetime": "timestamp", "bool": "boolean", "str": "string", "float": "double", "long": "bigint"}
@@ -77,6 +77,136 @@ def _text_or_default(f):
     return lambda *a: f(*[_literal(x) for x in a])
 
 
+# --- text functions with Python's meaning
+
+
+def _chars(test: Callable[[str], bool], end: int = 0x30000) -> str:
+    """The inside of a character class that holds what passes the test."""
+    found = [c for c in range(end) if not 0xD800 <= c < 0xE000 and test(chr(c))]
+    runs = []
+    for c in found:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
+
+
+_BLANKS = _chars(str.isspace)
+_DIGITS = _chars(lambda c: c.isdigit() and not c.isdecimal())
+_NUMERALS = _chars(lambda c: c.isnumeric() and unicodedata.category(c)[0] != "N")
+#: Where Python ends a line.
+_LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
+
+
+def _stripped(c: Column, chars: str | None, left: bool, right: bool) -> Column:
+    inside = _BLANKS if chars is None else "".join(rf"\x{{{ord(x):X}}}" for x in chars)
+    if not inside:
+        return c
+    return F.regexp_replace(c, "|".join([rf"\A[{inside}]+"] * left + [rf"[{inside}]+\z"] * right), "")
+
+
+def _justified(c: Column, n: int, fill: str, left: bool) -> Column:
+    """Filled up to n characters; longer texts stay."""
+    return F.when(F.length(c) >= n, c).otherwise((F.lpad if left else F.rpad)(c, n, fill))
+
+
+def _centred(c: Column, n, fill: str = " ") -> Column:
+    n, size = int(n), F.length(c)
+    room = n - size
+    before = F.floor(room / 2).cast("int") + (room.bitwiseAND(F.lit(n)).bitwiseAND(F.lit(1)))
+    return F.when(size >= n, c).otherwise(F.rpad(F.concat(F.repeat(F.lit(fill), before), c), n, fill))
+
+
+def _zero_filled(c: Column, n) -> Column:
+    signed = F.concat(F.substring(c, 1, 1), F.lpad(F.substring(c, 2, 2**31 - 1), max(int(n) - 1, 0), "0"))
+    return F.when(F.length(c) >= int(n), c).when(c.rlike(r"\A[+-]"), signed).otherwise(F.lpad(c, int(n), "0"))
+
+
+def _upper_first(c: Column) -> Column:
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 2**31 - 1)))
+
+
+def _folded(c: Column) -> Column:
+    """Lower case, and beyond it where Python folds more."""
+    more = {x: x.casefold() for x in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(x) < 0xE000 and x.casefold() != x.lower()}
+    found = F.create_map(*[F.lit(x) for kv in more.items() for x in kv])
+    each = F.transform(F.split(c, ""), lambda x: F.coalesce(found[x], F.lower(x)))
+    return F.when(c.rlike(f"[{''.join(more)}]"), F.array_join(each, "")).otherwise(F.translate(F.lower(c), "ς", "σ"))
+
+
+def _titled(c: Column) -> Column:
+    """Every run of letters with its first one large."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(?s)(\p{L}+|[^\p{L}]+)"), F.lit(0)), _upper_first), "")
+
+
+def _tabs_expanded(c: Column, n=8) -> Column:
+    """Blanks up to the next of every n columns of the line."""
+    n = int(n)
+    if n <= 0:
+        return F.replace(c, F.lit("\t"), F.lit(""))
+    parts = F.split(c, "\t")
+    used = lambda text: F.length(F.regexp_extract(text, r"([^\r\n]*)\z", 1)) % n
+    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), parts[0], lambda text, x: F.concat(text, F.repeat(F.lit(" "), n - used(text)), x))
+
+
+def _lines(c: Column) -> Column:
+    without_last = F.regexp_replace(c, rf"(?:{_LINE_ENDS})\z", "")
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(without_last, _LINE_ENDS))
+
+
+def _parted(c: Column, sep: str, last: bool) -> Column:
+    """Text before, the separator, text after; without a separator all text comes first, or last."""
+    at = F.length(c) - F.instr(F.reverse(c), sep[::-1]) - len(sep) + 2 if last else F.instr(c, sep)
+    empty = F.lit("")
+    return F.when(c.isNull(), F.lit(None)).when(F.instr(c, sep) == 0, F.array(empty, empty, c) if last else F.array(c, empty, empty)).otherwise(
+        F.array(F.substring(c, F.lit(1), at - 1), F.lit(sep), F.substring(c, at + len(sep), F.length(c)))
+    )
+
+
+def _split_from_right(c: Column, sep: str, n=-1) -> Column:
+    parts, n = F.split(c, F.concat(F.lit("\\Q"), F.lit(sep), F.lit("\\E"))), int(n)
+    if n < 0:
+        return parts
+    more = F.size(parts) - n
+    return F.when(c.isNull() | (more <= 1), parts).otherwise(F.concat(F.array(F.array_join(F.slice(parts, F.lit(1), more), sep)), F.slice(parts, more + 1, F.lit(n)) if n else F.array().cast("array<string>")))
+
+
+def _last_place(c: Column, s: str) -> Column:
+    found = F.instr(F.reverse(c), s[::-1])
+    return F.when(found == 0, -1).otherwise(F.length(c) - found - len(s) + 1)
+
+
+# --- numbers with NumPy's meaning
+
+
+def _modulo(a: Column, b) -> Column:
+    """The rest with the sign of the divisor."""
+    b = _literal(b)
+    rest = a % b
+    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
+
+
+def _clipped(c: Column, low=None, high=None) -> Column:
+    out = c
+    if low is not None:
+        out = F.when(out < _literal(low), _literal(low)).otherwise(out)
+    if high is not None:
+        out = F.when((out > _literal(high)) & ~F.isnan(c.cast("double")), _literal(high)).otherwise(out)
+    return out
+
+
+def _no_nan(c: Column, nan=0.0, posinf=None, neginf=None) -> Column:
+    most = 1.7976931348623157e308
+    big, small = F.lit(float("inf")), F.lit(float("-inf"))
+    return F.when(F.isnan(c), F.lit(float(nan))).when(c == big, F.lit(most if posinf is None else float(posinf))).when(c == small, F.lit(-most if neginf is None else float(neginf))).otherwise(c)
+
+
+def _truth(c) -> Column:
+    """Numbers other than zero are true."""
+    return _literal(c).cast("boolean")
+
+
 def _set_of(kind: str):
     return lambda a: F.array_distinct(F.filter(a, lambda x: x.cast("string") != "")).cast(f"array<{kind}>")
 
@@ -115,7 +245,11 @@ OWN: dict[str, Callable] = {
     "instr": lambda c, s: F.instr(c, s), "locate": lambda s, c, pos=1: F.locate(s, c, int(pos)),
     "find": lambda c, s: F.instr(c, s) - 1, "index": lambda c, s: F.instr(c, s) - 1,
     "lpad": lambda c, n, p=" ": F.lpad(c, int(n), p), "rpad": lambda c, n, p=" ": F.rpad(c, int(n), p),
-    "rjust": lambda c, n, p=" ": F.lpad(c, int(n), p), "ljust": lambda c, n, p=" ": F.rpad(c, int(n), p), "zfill": lambda c, n: F.lpad(c, int(n), "0"),
+    "rjust": lambda c, n, p=" ": _justified(c, int(n), p, True), "ljust": lambda c, n, p=" ": _justified(c, int(n), p, False), "zfill": _zero_filled,
+    "capitalize": _upper_first, "title": _titled, "casefold": _folded,
+    "strip": lambda c, x=None: _stripped(c, x, True, True), "lstrip": lambda c, x=None: _stripped(c, x, True, False), "rstrip": lambda c, x=None: _stripped(c, x, False, True),
+    "partition": lambda c, s: _parted(c, s, False), "rpartition": lambda c, s: _parted(c, s, True), "rsplit": _split_from_right, "rfind": _last_place,
+    "trunc": lambda c, f=None: OWN["truncate"](c) if f is None else F.trunc(c, f),
     "regexp_extract": lambda c, p, g=1: F.regexp_extract(c, p, int(g)),
     "repeat": lambda c, n: F.repeat(c, int(n)),
     "replace": lambda c, a, b: F.replace(c, F.lit(a), F.lit(b)),
@@ -147,18 +281,22 @@ OWN: dict[str, Callable] = {
     "like": lambda c, p: c.like(p), "rlike": lambda c, p: c.rlike(p), "substr": lambda c, a, n=None: c.substr(int(a), int(n)) if n is not None else F.substring(c, int(a), 2**31 - 1),
     "isin": lambda c, *v: c.isin(*(v[0] if len(v) == 1 and isinstance(v[0], (list, tuple)) else v)),
     "count": lambda c, s: F.regexp_count(c, F.concat(F.lit("\\Q"), F.lit(s), F.lit("\\E"))),
-    "center": lambda c, n, p=" ": F.rpad(F.lpad(c, F.greatest(F.length(c), F.floor((F.length(c) + int(n)) / 2).cast("int")), F.lit(p)), F.greatest(F.length(c), F.lit(int(n))), F.lit(p)),
+    "center": _centred,
     "swapcase": lambda c: F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x == F.upper(x), F.lower(x)).otherwise(F.upper(x))), ""),
-    "isalnum": lambda c: c.rlike(r"^[\p{L}\p{N}]+$"), "isalpha": lambda c: c.rlike(r"^\p{L}+$"), "isdigit": lambda c: c.rlike(r"^\p{Nd}+$"),
-    "isdecimal": lambda c: c.rlike(r"^\p{Nd}+$"), "isnumeric": lambda c: c.rlike(r"^\p{N}+$"), "isspace": lambda c: c.rlike(r"^\s+$"),
-    "islower": lambda c: (c == F.lower(c)) & (c != F.upper(c)), "isupper": lambda c: (c == F.upper(c)) & (c != F.lower(c)), "istitle": lambda c: (c == F.initcap(c)) & (c != F.lower(c)),
-    "isidentifier": lambda c: c.rlike(r"^[\p{L}_][\p{L}\p{N}_]*$"), "isprintable": lambda c: ~c.rlike(r"\p{Cntrl}"),
-    "splitlines": lambda c: F.split(c, r"\r\n|\r|\n"), "expandtabs": lambda c, n=8: F.replace(c, F.lit("\t"), F.lit(" " * int(n))),
+    "isalnum": lambda c: c.rlike(r"\A[\p{L}\p{N}]+\z"), "isalpha": lambda c: c.rlike(r"\A\p{L}+\z"), "isdigit": lambda c: c.rlike(rf"\A[\p{{Nd}}{_DIGITS}]+\z"),
+    "isdecimal": lambda c: c.rlike(r"\A\p{Nd}+\z"), "isnumeric": lambda c: c.rlike(rf"\A[\p{{N}}{_NUMERALS}]+\z"), "isspace": lambda c: c.rlike(rf"\A[{_BLANKS}]+\z"),
+    "islower": lambda c: (c == F.lower(c)) & (c != F.upper(c)), "isupper": lambda c: (c == F.upper(c)) & (c != F.lower(c)), "istitle": lambda c: (c == _titled(c)) & (F.lower(c) != F.upper(c)),
+    "isidentifier": lambda c: c.rlike(r"\A[\p{L}_][\p{L}\p{Nd}_]*\z"), "isprintable": lambda c: ~c.rlike(r"[\p{C}\p{Zl}\p{Zp}]|(?! )\p{Zs}"),
+    "splitlines": _lines, "expandtabs": _tabs_expanded,
     "join": lambda sep, c: F.array_join(c, sep), "urlsplit": lambda c, part="HOST": F.parse_url(c, F.lit(part)),
     "arcsinh": F.asinh, "arccosh": F.acosh, "arctanh": F.atanh, "exp2": lambda c: F.pow(F.lit(2.0), c),
     "truncate": lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)),
     "logaddexp": lambda a, b: F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))), "logaddexp2": lambda a, b: F.greatest(a, b) + F.log1p(F.pow(F.lit(2.0), -F.abs(a - b))) / F.log(F.lit(2.0)),
-    "add": operator.add, "subtract": operator.sub, "multiply": operator.mul, "divide": operator.truediv, "modulo": operator.mod, "remainder": operator.mod, "fmod": operator.mod,
+    "add": operator.add, "subtract": operator.sub, "multiply": operator.mul, "divide": operator.truediv, "modulo": operator.mod, "remainder": _modulo, "fmod": operator.mod,
+    "clip": _clipped, "nan_to_num": _no_nan, "array_equiv": lambda a, b: a.eqNullSafe(_literal(b)),
+    "equal": operator.eq, "not_equal": operator.ne, "greater": operator.gt, "greater_equal": operator.ge, "less": operator.lt, "less_equal": operator.le,
+    "logical_and": lambda a, b: _truth(a) & _truth(b), "logical_or": lambda a, b: _truth(a) | _truth(b), "logical_not": lambda a: ~_truth(a), "logical_xor": lambda a, b: _truth(a) != _truth(b),
+    "combine": lambda d, t: F.try_to_timestamp(F.concat_ws(" ", F.date_format(d, "yyyy-MM-dd"), _literal(t))),
     "negative": operator.neg, "reciprocal": lambda c: 1 / c, "square": lambda c: c * c, "maximum": F.greatest, "minimum": F.least, "float_power": lambda a, b: F.pow(a.cast("double"), _literal(b)), "floor_divide": lambda a, b: F.floor(a / b),
     "isoweekday": lambda c: F.weekday(c) + 1, "isoformat": lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), "str2time": lambda c, f: F.try_to_timestamp(c, F.lit(f)),
     "date": lambda c: c.cast("date"), "fromtimestamp": lambda c: F.timestamp_seconds(c), "utcfromtimestamp": lambda c: F.timestamp_seconds(c), "toordinal": lambda c: F.datediff(c.cast("date"), F.lit("0001-01-01").cast("date")) + 1,
