@@ -202,6 +202,13 @@ def _no_nan(c: Column, nan=0.0, posinf=None, neginf=None) -> Column:
     return F.when(F.isnan(c), F.lit(float(nan))).when(c == big, F.lit(most if posinf is None else float(posinf))).when(c == small, F.lit(-most if neginf is None else float(neginf))).otherwise(c)
 
 
+def _log_sum(a: Column, b: Column, base: float) -> Column:
+    """Logarithm of the sum of two powers; base 1 stands for the natural one."""
+    if base == 1.0:
+        return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+    return F.greatest(a, b) + F.log1p(F.pow(F.lit(base), -F.abs(a - b))) / F.log(F.lit(base))
+
+
 def _truth(c) -> Column:
     """Numbers other than zero are true."""
     return _literal(c).cast("boolean")
@@ -291,16 +298,16 @@ OWN: dict[str, Callable] = {
     "join": lambda sep, c: F.array_join(c, sep), "urlsplit": lambda c, part="HOST": F.parse_url(c, F.lit(part)),
     "arcsinh": F.asinh, "arccosh": F.acosh, "arctanh": F.atanh, "exp2": lambda c: F.pow(F.lit(2.0), c),
     "truncate": lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)),
-    "logaddexp": lambda a, b: F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))), "logaddexp2": lambda a, b: F.greatest(a, b) + F.log1p(F.pow(F.lit(2.0), -F.abs(a - b))) / F.log(F.lit(2.0)),
+    "logaddexp": lambda a, b: _log_sum(a, _literal(b), 1.0), "logaddexp2": lambda a, b: _log_sum(a, _literal(b), 2.0),
     "add": operator.add, "subtract": operator.sub, "multiply": operator.mul, "divide": operator.truediv, "modulo": operator.mod, "remainder": _modulo, "fmod": operator.mod,
     "clip": _clipped, "nan_to_num": _no_nan, "array_equiv": lambda a, b: a.eqNullSafe(_literal(b)),
     "equal": operator.eq, "not_equal": operator.ne, "greater": operator.gt, "greater_equal": operator.ge, "less": operator.lt, "less_equal": operator.le,
     "logical_and": lambda a, b: _truth(a) & _truth(b), "logical_or": lambda a, b: _truth(a) | _truth(b), "logical_not": lambda a: ~_truth(a), "logical_xor": lambda a, b: _truth(a) != _truth(b),
     "combine": lambda d, t: F.try_to_timestamp(F.concat_ws(" ", F.date_format(d, "yyyy-MM-dd"), _literal(t))),
-    "negative": operator.neg, "reciprocal": lambda c: 1 / c, "square": lambda c: c * c, "maximum": F.greatest, "minimum": F.least, "float_power": lambda a, b: F.pow(a.cast("double"), _literal(b)), "floor_divide": lambda a, b: F.floor(a / b),
+    "negative": operator.neg, "reciprocal": lambda c: 1 / c, "square": lambda c: c * c, "maximum": lambda a, b: F.greatest(a, _literal(b)), "minimum": lambda a, b: F.least(a, _literal(b)), "float_power": lambda a, b: F.pow(a.cast("double"), _literal(b)), "floor_divide": lambda a, b: F.floor(a / b),
     "isoweekday": lambda c: F.weekday(c) + 1, "isoformat": lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), "str2time": lambda c, f: F.try_to_timestamp(c, F.lit(f)),
     "date": lambda c: c.cast("date"), "fromtimestamp": lambda c: F.timestamp_seconds(c), "utcfromtimestamp": lambda c: F.timestamp_seconds(c), "toordinal": lambda c: F.datediff(c.cast("date"), F.lit("0001-01-01").cast("date")) + 1,
-    "fromordinal": lambda c: F.date_add(F.lit("0001-01-01").cast("date"), c - 1), "timedelta": lambda days=0, seconds=0: F.make_dt_interval(F.lit(int(days)), F.lit(0), F.lit(0), F.lit(float(seconds))), "total_seconds": lambda c: c.cast("interval second").cast("double"),
+    "fromordinal": lambda c: F.date_add(F.lit("0001-01-01").cast("date"), c - 1), "timedelta": lambda days=0, seconds=0: F.make_dt_interval(F.lit(int(days)), F.lit(0), F.lit(0), F.lit(float(seconds))), "total_seconds": lambda c: sum((F.extract(F.lit(u), c).cast("double") * n for u, n in (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1))), F.lit(0.0)),
     "ith": lambda c, i: __import__("pyspark.ml.functions", fromlist=["x"]).vector_to_array(c)[int(i)],
     "validate_codes": lambda c: valid_cpf(c) | valid_cnpj(c), "complete_cpf_cnpj": lambda c, n=11: F.lpad(F.regexp_replace(c, r"\D", ""), int(n), "0"),
     "physical_or_legal_person": lambda c: F.when(F.length(F.regexp_replace(c, r"\D", "")) <= 11, "physical").otherwise("legal"),

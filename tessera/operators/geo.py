@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.durable import numbered, stored
 from tessera.operators.registry import IN, OUT, ParameterError, names, need, operator
 
 
@@ -30,7 +31,8 @@ def within(inputs, polygon="points", polygon_attributes=None, latitude="latitude
     bound = lambda f, i: f(F.transform("_ring", lambda p: p[i]))
     cells = lambda i: F.sequence(F.floor(bound(F.array_min, i) / step), F.floor(bound(F.array_max, i) / step))
     s = s.withColumn("_cx", F.explode(cells(0))).withColumn("_cy", F.explode(cells(1)))
-    p = points.withColumn("_id", F.monotonically_increasing_id() if key is None else F.col(key)).withColumns({"_cx": F.floor(F.col(longitude).cast("double") / step), "_cy": F.floor(F.col(latitude).cast("double") / step)})
+    # without a key rows get one, in a table of its own, so that it is the same wherever it is read
+    p = (stored(points.withColumn("_id", F.monotonically_increasing_id()), "points") if key is None else points.withColumn("_id", F.col(key))).withColumns({"_cx": F.floor(F.col(longitude).cast("double") / step), "_cy": F.floor(F.col(latitude).cast("double") / step)})
     j = p.join(s, ["_cx", "_cy"]).filter(inside(F.col(longitude).cast("double"), F.col(latitude).cast("double"), F.col("_ring")))
     best = j.groupBy("_id").agg(F.min(F.struct(*(f"_a{i}" for i in range(len(wanted))))).alias("_f"))
     new = [x.strip() for x in (alias.split(",") if isinstance(alias, str) else alias or [])] or wanted
@@ -97,7 +99,7 @@ def density_clusters(rows, links, least: int, alias: str):
     labels = spread(core.withColumn("label", F.col("k")), inner)
     border = links.join(labels.toDF("b", "lb"), "b").groupBy("a").agg(F.min("lb").alias("near"))
     j = rows.join(labels, "k", "left").join(border, rows["k"] == border["a"], "left")
-    ids = labels.select("label").distinct().withColumn(alias, F.dense_rank().over(Window.orderBy("label")) - 1)
+    ids = numbered(labels.select("label").distinct(), alias, [F.asc("label")])
     j = j.withColumn("label", F.coalesce("label", "near")).join(ids, "label", "left")
     return j.select("k", F.coalesce(alias, F.lit(-1)).alias(alias))
 
@@ -143,8 +145,8 @@ def dbscan(inputs, features=None, eps=0.5, min_samples=5, key=None, prediction="
 
 @operator("entity-matching")
 def entity_matching(inputs, left_latitude="lat", left_longitude="lon", right_latitude="lat", right_longitude="lon", distance=100.0, left_key="id", right_key="id", **_):
-    """Rows of two tables whose places are within a distance in metres, by a grid join; the reference's route matcher is a
-    binary without public source."""
+    """Rows of two tables whose places are within a distance in metres, by a grid join; matching along routes is not
+    offered."""
     a, b = inputs["input data 1"], inputs["input data 2"]
     per, eps = 111320.0, float(distance)
 

@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
+from tessera.operators.durable import running
 from tessera.operators.registry import IN, OPERATORS, OUT, ParameterError, flag, names, need, operator
 
 
@@ -370,9 +371,40 @@ def evaluator(metric: str, label: str = "label", prediction: str = "prediction",
     raise ParameterError(f"unknown metric: {metric}")
 
 
+def confusion_matrix(made, label: str, prediction: str):
+    """How often each label got each prediction: label, prediction, n."""
+    return made.groupBy(F.col(label).cast("string").alias("label"), F.col(prediction).cast("string").alias("prediction")).agg(F.count("*").alias("n"))
+
+
+def curves(made, label: str, score: str):
+    """Points of the ROC and the precision-recall curve, one a distinct score: rows of at least that score count as positive."""
+    by = made.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count_if(F.col(label).cast("double") > 0).alias("p"), F.count_if(F.col(label).cast("double") <= 0).alias("n"))
+    rows = running(by, {"tp": F.col("p"), "fp": F.col("n")}, [F.desc("threshold")])
+    every = F.broadcast(made.agg(F.count_if(F.col(label).cast("double") > 0).alias("_p"), F.count_if(F.col(label).cast("double") <= 0).alias("_n")))  # one row
+    share = lambda a, b: F.when(b != 0, a / b).otherwise(F.lit(0.0))
+    c = F.col
+    return rows.crossJoin(every).select("threshold", share(c("fp"), c("_n")).alias("fpr"), share(c("tp"), c("_p")).alias("tpr"), share(c("tp"), c("tp") + c("fp")).alias("precision"), share(c("tp"), c("_p")).alias("recall"))
+
+
+def importances(model, features) -> list[tuple[str, float]]:
+    """What a fitted model says of its features, strongest first: importances or coefficients."""
+    for stage in reversed(getattr(model, "stages", [model])):
+        for name in ("featureImportances", "coefficients"):
+            if not hasattr(type(stage), name) or getattr(stage, "numClasses", 2) > 2 and name == "coefficients":
+                continue  # a linear model of several classes has no single list
+            found = getattr(stage, name)
+            return sorted(zip(features, map(float, found.toArray()), strict=False), key=lambda x: -abs(x[1]))
+    return []
+
+
 @operator("evaluate-model", "evaluator")
-def evaluate(inputs, metric="f1", label_attribute="label", prediction_attribute="prediction", **_):
-    df = inputs.get(IN)
+def evaluate(inputs, metric="f1", label_attribute="label", prediction_attribute="prediction", features=None, **_):
+    """The metric's value; of classes also the confusion matrix and a report by class; with metric ``curves`` the ROC and
+    precision-recall points of a score; with a model and its feature names what it makes of them."""
+    df, more = inputs.get(IN), {}
+    if metric == "curves":
+        found = curves(df, label_attribute, prediction_attribute)
+        return {OUT: found, "curves": found}
     if metric == "mape":
         y, p = F.col(label_attribute), F.col(prediction_attribute)
         value = df.filter(y != 0).agg(F.avg(F.abs((y - p) / y))).first()[0]
@@ -381,13 +413,17 @@ def evaluate(inputs, metric="f1", label_attribute="label", prediction_attribute=
     if df is None:
         return {"evaluator": e}
     made = df if prediction_attribute in df.columns else inputs["model"].transform(df)
-    return {OUT: made.sparkSession.createDataFrame([(metric, float(e.evaluate(made)))], "metric string, value double"), "evaluator": e, "evaluated model": inputs.get("model")}
+    if _METRICS[metric] in "bm":
+        more = {"confusion matrix": confusion_matrix(made, label_attribute, prediction_attribute), "report": classification_report({IN: made}, label_attribute, prediction_attribute)[OUT]}
+    if inputs.get("model") is not None and features:
+        more["importances"] = made.sparkSession.createDataFrame(importances(inputs["model"], names(features)), "feature string, weight double")
+    return {OUT: made.sparkSession.createDataFrame([(metric, float(e.evaluate(made)))], "metric string, value double"), "evaluator": e, "evaluated model": inputs.get("model"), **more}
 
 
 @operator("classification-report")
 def classification_report(inputs, label_attribute="label", prediction_attribute="prediction", **_):
     """Support, precision, recall and F1 by class, from the counts of (label, prediction)."""
-    c = inputs[IN].groupBy(F.col(label_attribute).cast("string").alias("l"), F.col(prediction_attribute).cast("string").alias("p")).count().persist()
+    c = inputs[IN].groupBy(F.col(label_attribute).cast("string").alias("l"), F.col(prediction_attribute).cast("string").alias("p")).count()
     by = lambda k: c.groupBy(F.col(k).alias("class")).agg(F.sum("count").alias(f"n_{k}"))
     hit = c.filter("l = p").select(F.col("l").alias("class"), F.col("count").alias("tp"))
     j = by("l").join(by("p"), "class", "full").join(hit, "class", "left").na.fill(0)

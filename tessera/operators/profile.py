@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.durable import running
 from tessera.operators.registry import IN, OUT, ParameterError, names, need, operator
 from tessera.operators.relational import aggregate_column
 
@@ -44,7 +45,7 @@ def correlation(inputs, attributes=None, method="pearson", **_):
         df = df.select(*(F.col(c).cast("double").alias(c) for c in cols)).na.drop()
         for c in cols:
             counts = df.groupBy(c).agg(F.count("*").alias("_n"))
-            ranks = counts.withColumn("_r", F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("_n") - 1) / 2)
+            ranks = running(counts, {"_r": F.col("_n")}, [F.asc(c)]).withColumn("_r", F.col("_r") - (F.col("_n") - 1) / 2)
             df = df.join(ranks.select(F.col(c).alias("_v"), "_r"), F.col(c) == F.col("_v")).drop("_v", c).withColumnRenamed("_r", c)
     pairs = list(combinations(cols, 2))
     row = df.agg(F.array(*(F.struct(F.lit(a).alias("attribute_a"), F.lit(b).alias("attribute_b"), F.corr(a, b).alias("correlation")) for a, b in pairs)).alias("p"))
@@ -79,11 +80,12 @@ def box_plot(inputs, fact_attributes=None, attributes=None, group=None, exact=Tr
 
 @operator("histogram")
 def histogram(inputs, attributes=None, bins=20, **_):
-    """Equal bins between the least and the largest value; the last one is closed. Empty bins are listed with 0."""
+    """Equal bins between the least and the largest value; the last one is closed. Empty bins are listed with 0. Nulls, NaN and
+    infinite values are in no bin; a column without other values gives no rows."""
     df, n = inputs[IN], int(bins)
     made = None
     for a in names(need(attributes, "attributes")):
-        x = df.select(F.col(a).cast("double").alias("x")).filter("x IS NOT NULL")
+        x = df.select(F.col(a).cast("double").alias("x")).filter((F.abs("x") < float("inf")) & ~F.isnan("x"))
         lo, hi = x.agg(F.min("x"), F.max("x")).first()
         if lo is None:
             continue
@@ -93,7 +95,7 @@ def histogram(inputs, attributes=None, bins=20, **_):
         every = df.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"))
         h = every.join(counts, "bin", "left").select(F.lit(a).alias("attribute"), "bin", (lo + F.col("bin") * width).alias("start"), (lo + (F.col("bin") + 1) * width).alias("end"), F.coalesce("n", F.lit(0)).alias("count"))
         made = h if made is None else made.unionByName(h)
-    return {OUT: made}
+    return {OUT: made if made is not None else df.sparkSession.createDataFrame([], "attribute string, bin int, start double, end double, count long")}
 
 
 @operator("quantile-table")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.expressions import Compiler, spark_type, window_spec
+from tessera.operators.durable import free_name, numbered, stored
 from tessera.operators.registry import IN, IN1, IN2, OUT, ParameterError, flag, names, need, operator
 
 
@@ -126,27 +127,17 @@ def change_attribute(inputs, attributes=None, new_name=None, new_data_type=None,
 @operator("add-columns")
 def add_columns(inputs, aliases="ds0_,ds1_", order_by=None, how="inner", **_):
     """Put the n-th rows of two tables side by side. ``order_by`` ([left names, right names]) says what n-th means; without
-    it, it is the order in which Spark reads. Rows are numbered within their partitions and partitions by their sizes, so no
-    task sees all rows."""
-    left, right = inputs[IN1], inputs[IN2]
-    if order_by:
-        left, right = left.orderBy(*names(order_by[0])), right.orderBy(*names(order_by[1]))
-    a, b = (aliases.split(",") if isinstance(aliases, str) else aliases)[:2]
-    numbered = [_numbered(df, f"_n{i}").withColumnsRenamed({c: p.strip() + c for c in df.columns}) for i, (df, p) in enumerate(((left, a), (right, b)))]
-    return out(numbered[0].join(numbered[1], F.col("_n0") == F.col("_n1"), how).drop("_n0", "_n1"))
-
-
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """Rows with their position; the driver sees one count a partition."""
-    marked = df.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
-    sizes = sorted((r[0], r[1]) for r in marked.groupBy("_p").count().collect())
-    base, at = {}, 0
-    for p, n in sizes:
-        base[p], at = at, at + n
-    if not base:
-        return marked.withColumn(name, F.lit(0).cast("long")).drop("_p", "_i")
-    starts = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])
-    return marked.withColumn(name, starts[F.col("_p")] + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_i")
+    it, it is the order in which Spark reads. Of tables of unlike length the rest goes, or stays with nulls (``how`` left,
+    right, outer). Rows that are equal in the order come in any order."""
+    a, b = (x.strip() for x in (aliases.split(",") if isinstance(aliases, str) else aliases)[:2])
+    sides = []
+    for df, prefix, order in zip((inputs[IN1], inputs[IN2]), (a, b), order_by or (None, None), strict=True):
+        (at,) = free_name(df, "_at")
+        sides.append((numbered(df, at, [F.col(c) for c in names(order)] if order else None), at, df.columns, prefix))
+    # names may clash: sides meet under names of their own
+    l, r = (x.select(F.col(at).alias(f"_n{i}"), *(F.col(f"`{c}`").alias(f"_{i}_{k}") for k, c in enumerate(columns))) for i, (x, at, columns, _p) in enumerate(sides))
+    j = l.join(r, F.col("_n0") == F.col("_n1"), _HOW.get(how, how))
+    return out(j.select(*(F.col(f"_{i}_{k}").alias(prefix + c) for i, (_x, _at, columns, prefix) in enumerate(sides) for k, c in enumerate(columns))))
 
 
 @operator("multiplexer")
@@ -241,14 +232,15 @@ def remove_missing(inputs, attributes=None, **_):
 
 @operator("force-range")
 def force_range(inputs, attributes=None, start=None, end=None, outliers="clip", **_):
-    """Clip to [start, end], or make what is outside null (outliers='clean')."""
+    """Clip to [start, end], or make what is outside null (outliers='clean'). Nulls and NaN stay."""
     new = {}
     for a in names(need(attributes, "attributes")):
         c, x = F.col(a), F.col(a)
         if start is not None:
             x = F.when(c < start, F.lit(None) if outliers == "clean" else F.lit(start)).otherwise(x)
         if end is not None:
-            x = F.when(c > end, F.lit(None) if outliers == "clean" else F.lit(end)).otherwise(x)
+            above = (c > end) & ~F.isnan(c.cast("double")) if dict(inputs[IN].dtypes)[a] in ("double", "float") else c > end
+            x = F.when(above, F.lit(None) if outliers == "clean" else F.lit(end)).otherwise(x)
         new[a] = x
     return out(inputs[IN].withColumns(new))
 
@@ -366,13 +358,24 @@ def window_transformation(inputs, partition_attribute=None, order_by=None, type=
 @operator("sliding-window")
 def sliding_window(inputs, attribute=None, alias="value", window_size=2, window_gap=1, window_pass=1, order_by=None, partition_by=None, **_):
     """Each ``window_pass``-th row becomes size - 1 values in a row and the one ``gap`` rows after them. An order is required;
-    with ``partition_by`` every series has its own windows and no task sees all rows."""
+    with ``partition_by`` every series has its own windows. No task sees all rows."""
     df, size, gap, step = inputs[IN], int(window_size), int(window_gap), max(1, int(window_pass))
-    w = Window.partitionBy(*names(partition_by)).orderBy(*names(need(order_by, "order_by")))
-    values = F.collect_list(F.struct(F.col(attribute).alias("v"))).over(w.rowsBetween(0, size + gap - 2))
-    full = df.withColumns({"_v": values, "_n": F.row_number().over(w) - 1}).filter((F.size("_v") == size + gap - 1) & (F.col("_n") % step == 0))
+    by, order = names(partition_by), names(need(order_by, "order_by"))
     at = [*range(size - 1), size + gap - 2]
-    return out(full.select(*df.columns, *(F.col("_v")[i]["v"].alias(f"{alias}{k + 1}") for k, i in enumerate(at))))
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order)
+        v, n = free_name(df, "_v", "_n")
+        values = F.collect_list(F.struct(F.col(attribute).alias("v"))).over(w.rowsBetween(0, size + gap - 2))
+        full = df.withColumns({v: values, n: F.row_number().over(w) - 1}).filter((F.size(v) == size + gap - 1) & (F.col(n) % step == 0))
+        return out(full.select(*df.columns, *(F.col(v)[i]["v"].alias(f"{alias}{k + 1}") for k, i in enumerate(at))))
+    # rows are numbered, and each value goes to the windows that hold it
+    n, start, k, v, got = free_name(df, "_n", "_start", "_k", "_v", "_got")
+    rows = numbered(df, n, [F.col(c) for c in order])
+    places = F.explode(F.array(*(F.struct((F.col(n) - i).alias("s"), F.lit(j).alias("k")) for j, i in enumerate(at))))
+    sent = rows.select(places.alias("p"), F.struct(F.col(attribute).alias("v")).alias(v)).select(F.col("p.s").alias(start), F.col("p.k").alias(k), v).filter((F.col(start) >= 0) & (F.col(start) % step == 0))
+    full = sent.groupBy(start).agg(F.map_from_entries(F.collect_list(F.struct(k, v))).alias(got)).filter(F.size(got) == size)
+    j = rows.join(full, F.col(n) == F.col(start))
+    return out(j.select(*(F.col(f"`{c}`") for c in df.columns), *(F.col(got)[i]["v"].alias(f"{alias}{i + 1}") for i in range(size))))
 
 
 # --- order, samples and folds
@@ -385,19 +388,24 @@ def sort(inputs, attributes=None, order_by=None, **_):
 
 
 @operator("sample")
-def sample(inputs, type="percent", fraction=None, value=None, seed=None, withReplacement=False, **_):  # noqa: A002, N803
-    """percent of the rows, a number of them at random (``value``, exact), or the first (``head``)."""
+def sample(inputs, type="percent", fraction=None, value=None, seed=None, withReplacement=False, scale=1, **_):  # noqa: A002, N803
+    """A share of the rows (``percent``: 0 < fraction <= 1; a fraction over 1 is an error unless ``scale`` is 100, when 50 is a
+    half), a number of them at random (``value``, exact), or the first (``head``)."""
     df = inputs[IN]
     seed = 0 if seed in (None, "") else int(seed)
     if type == "head":
         df = df.limit(int(need(value, "value")))
     elif type == "value":
-        df = df.orderBy(F.rand(seed)).limit(int(need(value, "value")))
+        # a little more than wanted is drawn first, so that few rows are sorted; where luck left too few, all are
+        wanted, total = int(need(value, "value")), df.count()
+        (draw,) = free_name(df, "_draw")
+        some = df.withColumn(draw, F.rand(seed)).filter(F.col(draw) <= (wanted + 10 * wanted**0.5 + 100) / max(total, 1))
+        some = stored(some, "sample")
+        df = (some if some.count() >= min(wanted, total) else df.withColumn(draw, F.rand(seed))).orderBy(draw).limit(wanted).drop(draw)
     else:
-        part = float(need(fraction, "fraction"))
-        part = part / 100 if part > 1 else part
+        part = float(need(fraction, "fraction")) / float(scale)
         if not 0 < part <= 1:
-            raise ParameterError("fraction must be over 0 and at most 1, or a percentage")
+            raise ParameterError("fraction must be over 0 and at most 1, or at most the scale")
         df = df.sample(flag(withReplacement), part, seed)
     return {OUT: df, "sampled data": df}
 
@@ -419,8 +427,21 @@ def split_k_fold(inputs, k_fold=3, n_splits=None, type="random", label=None, col
     by = names(label)[:1] if "stratified" in type or flag(stratified) else []
     if type == "random" and not by and flag(shuffle):
         return out(df.withColumn(name, F.floor(F.rand(int(seed)) * k).cast("int")))
-    order = [F.rand(int(seed))] if flag(shuffle) and not order_by else [F.col(c) for c in names(need(order_by, "order_by"))]
-    return out(df.withColumn(name, F.ntile(k).over(Window.partitionBy(*by).orderBy(*order)) - 1))
+    at, draw, first, count = free_name(df, "_at", "_draw", "_first", "_count")
+    rows = df.withColumn(draw, F.rand(int(seed)))
+    order = [draw] if flag(shuffle) and not order_by else names(need(order_by, "order_by"))
+    rows = numbered(rows, at, [F.col(c) for c in [*by, *order]])
+    # each label's rows stand one behind the other: folds of like size, the first ones with one row more
+    sizes = rows.groupBy(*by).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(count))
+    if by:
+        sizes = sizes.withColumnRenamed(by[0], "_label")
+        j = rows.join(sizes, F.col(by[0]).eqNullSafe(F.col("_label"))).drop("_label")
+    else:
+        j = rows.crossJoin(F.broadcast(sizes))  # one row
+    place, small = F.col(at) - F.col(first), F.floor(F.col(count) / k)
+    more = F.col(count) % k
+    fold = F.when(place < more * (small + 1), F.floor(place / (small + 1))).otherwise(more + F.floor((place - more * (small + 1)) / F.greatest(small, F.lit(1))))
+    return out(j.withColumn(name, fold.cast("int")).drop(at, draw, first, count))
 
 
 # --- sets

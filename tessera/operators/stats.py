@@ -8,47 +8,35 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.durable import free_name, running
 from tessera.operators.registry import IN, OUT, names, need, operator
 
 
 def _share(df, a):
     """Each value's share of the column's sum; the sum is one aggregated row, joined back."""
-    total = df.agg(F.sum(a).alias("_total"))
-    return df.crossJoin(F.broadcast(total)), F.col(a) / F.col("_total")
+    (name,) = free_name(df, "_total")
+    total = df.agg(F.sum(a).alias(name))
+    return df.crossJoin(F.broadcast(total)), F.col(a) / F.col(name), name
 
 
 @operator("pdf")
 def pdf(inputs, attributes=None, alias="pdf", **_):
-    df, share = _share(inputs[IN], names(need(attributes, "attributes"))[0])
-    return {OUT: df.withColumn(alias, share).drop("_total")}
-
-
-def running(df, value, order: list[str], name: str, reverse: bool = False):
-    """Running sums in an order, without one task for all rows: range partitions are summed, their totals added up on the
-    driver (one number a partition), and each partition runs on its own."""
-    keys = [F.desc(c) if reverse else F.asc(c) for c in order]
-    rows = df.withColumn("_v", value).repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()).persist()
-    base, at = [], 0.0
-    for p, s in sorted((r[0], r[1] or 0.0) for r in rows.groupBy("_p").agg(F.sum("_v")).collect()):
-        base += [F.lit(p), F.lit(at)]
-        at += s
-    start = F.create_map(*base)[F.col("_p")] if base else F.lit(0.0)
-    w = Window.partitionBy("_p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, start + F.sum("_v").over(w)).drop("_v", "_p")
+    df, share, total = _share(inputs[IN], names(need(attributes, "attributes"))[0])
+    return {OUT: df.withColumn(alias, share).drop(total)}
 
 
 @operator("cdf")
 def cdf(inputs, attributes=None, alias="cdf", order_by=None, **_):
     a = names(need(attributes, "attributes"))[0]
-    df, share = _share(inputs[IN], a)
-    return {OUT: running(df, share, names(order_by) or [a], alias).drop("_total")}
+    df, share, total = _share(inputs[IN], a)
+    return {OUT: running(df, {alias: share}, [F.asc(c) for c in names(order_by) or [a]]).drop(total)}
 
 
 @operator("ccdf")
 def ccdf(inputs, attributes=None, alias="ccdf", order_by=None, **_):
     a = names(need(attributes, "attributes"))[0]
-    df, share = _share(inputs[IN], a)
-    return {OUT: running(df, share, names(order_by) or [a], alias, reverse=True).drop("_total")}
+    df, share, total = _share(inputs[IN], a)
+    return {OUT: running(df, {alias: share}, [F.desc(c) for c in names(order_by) or [a]]).drop(total)}
 
 
 @operator("kaplan-meier-survival")
@@ -57,10 +45,13 @@ def kaplan_meier(inputs, duration_attribute=None, event_observed_attribute=None,
     by = names(pivot_attribute)
     t, e = need(duration_attribute, "duration_attribute"), need(event_observed_attribute, "event_observed_attribute")
     counts = inputs[IN].groupBy(*by, F.col(t).alias("time")).agg(F.sum(F.col(e).cast("long")).alias("events"), F.count("*").alias("leaving"))
+    log = F.when(F.col("events") < F.col("at_risk"), F.log(1 - F.col("events") / F.col("at_risk"))).otherwise(F.lit(float("-inf")))
+    if not by:
+        rows = running(counts, {"at_risk": F.col("leaving")}, [F.desc("time")])
+        return {OUT: running(rows, {"_sum": log}, [F.asc("time")]).withColumn("survival", F.exp("_sum")).drop("_sum")}
     w = Window.partitionBy(*by)
     at_risk = F.sum("leaving").over(w.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0))
     rows = counts.withColumn("at_risk", at_risk)
-    log = F.when(F.col("events") < F.col("at_risk"), F.log(1 - F.col("events") / F.col("at_risk"))).otherwise(F.lit(float("-inf")))
     return {OUT: rows.withColumn("survival", F.exp(F.sum(log).over(w.orderBy("time").rowsBetween(Window.unboundedPreceding, 0))))}
 
 
@@ -80,8 +71,8 @@ def cox(inputs, attributes=None, time_attribute=None, y_attribute=None, max_iter
         sums += [F.sum(risk * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s2_{i}_{j}") for i in range(p) for j in range(i, p)]
         cols = ["s0", *(f"s1_{i}" for i in range(p)), *(f"s2_{i}_{j}" for i in range(p) for j in range(i, p))]
         byt = rows.groupBy("t").agg(*sums)
-        w = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-        at = byt.select("d", *(f"u_{i}" for i in range(p)), *(F.sum(c).over(w).alias(c) for c in cols)).filter("d > 0")
+        summed = running(byt, {f"r_{c}": F.col(c) for c in cols}, [F.desc("t")])
+        at = summed.select("d", *(f"u_{i}" for i in range(p)), *(F.col(f"r_{c}").alias(c) for c in cols)).filter("d > 0")
         mean = lambda i: F.col(f"s1_{i}") / F.col("s0")
         grad = [F.sum(F.col(f"u_{i}") - F.col("d") * mean(i)) for i in range(p)]
         info = [F.sum(F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean(i) * mean(j))) for i in range(p) for j in range(i, p)]

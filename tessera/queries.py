@@ -129,7 +129,7 @@ for _name, _how, _sql in (
     query(f"SELECT c_custkey, c_name, o_orderkey, o_custkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) {_sql} (SELECT * FROM orders WHERE o_totalprice > 200000) ON c_custkey = o_custkey")(_join)
 
 by_slug("join_semi", "customer orders", "join", "SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", left_attributes=["c_custkey"], right_attributes=["o_custkey"], join_type="leftsemi")
-by_slug("join_anti", "customer orders", "join", "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", left_attributes=["c_custkey"], right_attributes=["o_custkey"], join_type="leftanti")
+by_slug("join_anti", "part customer", "join", "SELECT * FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)", left_attributes=["p_partkey"], right_attributes=["c_custkey"], join_type="leftanti")
 by_slug("join_selected_prefix", "nation region", "join", "SELECT n_nationkey AS a_n_nationkey, n_name AS a_n_name, n_regionkey AS a_n_regionkey, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey", join_parameters={"conditions": [{"first": "n_regionkey", "second": "r_regionkey", "op": "="}], "joinType": "inner", "firstPrefix": "a_", "firstSelectionType": 1, "secondSelectionType": 2, "secondSelect": [{"attribute": "r_name", "alias": "region"}]})
 by_slug("join_theta_range", "nation region", "join", "SELECT n_nationkey, n_name, n_regionkey, r_regionkey, r_name FROM nation JOIN region ON n_regionkey < r_regionkey", join_parameters={"conditions": [{"first": "n_regionkey", "second": "r_regionkey", "op": "<"}], "joinType": "inner"})
 
@@ -191,9 +191,9 @@ def intersect_keys(spark, sf_dir):
     return op(_keys_of(spark, sf_dir), "intersection")
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT c_custkey FROM customer")
 def except_keys(spark, sf_dir):
-    return op(_keys_of(spark, sf_dir), "difference")
+    return op(two(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))), "difference")
 
 
 @query("SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer")
@@ -288,10 +288,19 @@ def n_grams(spark, sf_dir):
     return t.select("doc_id", F.size("g").alias("n"), F.try_element_at("g", F.lit(1)).alias("first"))
 
 
-@query("WITH t AS (SELECT event_type AS g, value AS t, event_id % 3 = 0 AS e FROM events), c AS (SELECT g, t, count(*) FILTER (e) AS d, count(*) AS n FROM t GROUP BY g, t), r AS (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY t DESC) AS risk FROM c) SELECT g AS \"group\", t AS time, d AS events, risk::BIGINT AS at_risk FROM r")
+_KM = "WITH t AS (SELECT {g} AS g, value AS t, event_id % 3 = 0 AS e FROM events), c AS (SELECT g, t, count(*) FILTER (e) AS d, count(*) AS n FROM t GROUP BY g, t), r AS (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY t DESC) AS risk FROM c), l AS (SELECT *, CASE WHEN d < risk THEN ln(1 - d / risk) ELSE '-infinity'::DOUBLE END AS x FROM r) SELECT {s}t AS time, d AS events, risk::BIGINT AS at_risk, round(exp(sum(x) OVER (PARTITION BY g ORDER BY t)), 8) AS survival FROM l"
+
+
+@query(_KM.format(g="event_type", s='g AS "group", '))
 def kaplan_meier(spark, sf_dir):
     t = table(spark, sf_dir, "events").select(F.col("event_type").alias("group"), "value", (F.col("event_id") % 3 == 0).cast("int").alias("seen"))
-    return op(t, "kaplan-meier-survival", duration_attribute="value", event_observed_attribute="seen", pivot_attribute=["group"]).select("group", "time", "events", "at_risk")
+    return op(t, "kaplan-meier-survival", duration_attribute="value", event_observed_attribute="seen", pivot_attribute=["group"]).select("group", "time", "events", "at_risk", F.round("survival", 8).alias("survival"))
+
+
+@query(_KM.format(g="1", s=""))
+def kaplan_meier_whole(spark, sf_dir):
+    t = table(spark, sf_dir, "events").select("value", (F.col("event_id") % 3 == 0).cast("int").alias("seen"))
+    return op(t, "kaplan-meier-survival", duration_attribute="value", event_observed_attribute="seen").select("time", "events", "at_risk", F.round("survival", 8).alias("survival"))
 
 
 @query()
@@ -362,3 +371,6 @@ def notebook_cells(spark, sf_dir):
     book = Notebook(spark, {"orders": table(spark, sf_dir, "orders")}, least=100000)
     book.sql("SELECT * FROM orders WHERE o_totalprice > {least}", "large_orders")
     return book.sql("SELECT o_orderpriority, count(*) AS n FROM large_orders GROUP BY o_orderpriority")
+
+
+from tessera import queries_functions, queries_operators  # noqa: E402, F401

@@ -180,3 +180,53 @@ def test_the_catalogue_is_large():
 
     registry._load()
     assert len(OPERATORS) > 240
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_positions_hold_for_tables_of_unlike_width(spark, adaptive):
+    """Every row finds its partner, with and without adaptive execution."""
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        wide = spark.range(n).select(((F.col("id") * 7919) % n).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("filler")).repartition(13)
+        narrow = spark.range(n).select(((F.col("id") * 104729) % n).alias("k")).repartition(3)
+        made = run("add-columns", {"input data 1": wide, "input data 2": narrow}, order_by=[["k"], ["k"]])["output data"]
+        assert made.agg(F.count("*"), F.count_if(F.col("ds0_k") != F.col("ds1_k")), F.count_distinct("ds0_k")).first()[:] == (n, 0, n)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_histogram_and_range_with_nan(spark):
+    df = spark.createDataFrame([(float(x),) for x in range(10)] + [(float("nan"),), (float("inf"),), (None,)], "x double")
+    got = run("histogram", {"input data": df}, attributes=["x"], bins=3)["output data"].orderBy("bin").collect()
+    assert [r["count"] for r in got] == [3, 3, 4] and [r.start for r in got] == [0.0, 3.0, 6.0]
+    clipped = [r.x for r in run("force-range", {"input data": df}, attributes=["x"], start=2, end=5)["output data"].collect()]
+    assert clipped[:3] == [2.0, 2.0, 2.0] and clipped[9] == 5.0 and clipped[10] != clipped[10] and clipped[11] == 5.0 and clipped[12] is None
+
+
+def test_sample_shares(spark):
+    df = spark.range(1000)
+    assert run("sample", {"input data": df}, type="percent", fraction=1)["output data"].count() == 1000
+    assert 300 < run("sample", {"input data": df}, type="percent", fraction=50, scale=100)["output data"].count() < 700
+    with pytest.raises(ParameterError):
+        run("sample", {"input data": df}, type="percent", fraction=1.5)
+    assert run("sample", {"input data": df}, type="value", value=40)["output data"].count() == 40
+    assert run("sample", {"input data": df}, type="value", value=5000)["output data"].count() == 1000
+
+
+def test_running_sums_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.durable import numbered, running
+
+    df = spark.range(5000).select(((F.col("id") * 37) % 5000).alias("_v0"), F.lit(1).alias("_part")).repartition(9)
+    got = running(df, {"s": F.col("_v0")}, [F.asc("_v0")]).orderBy("_v0").collect()
+    total = 0
+    for r in got:
+        total += r["_v0"]
+        assert r.s == total
+    assert [r["_v0"] for r in numbered(df, "at", [F.desc("_v0")]).orderBy("at").collect()] == list(range(4999, -1, -1))
+    assert numbered(df.filter("false"), "at", [F.col("_v0")]).count() == 0
