@@ -144,8 +144,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, block: int = BLOCK
     components = materialize(spark, connected_components(spark, found.select("key", "root")).toDF("key", "component"), "components")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     own = classes.select("key", "least", "size").join(components, "key", "left").join(links, "key", "left")
-    least = own.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("group_least"))
-    known = own.join(least, "component", "left").select("key", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("group_least", "least").alias("component_id"))
+    own = materialize(spark, own.withColumn("component", F.coalesce("component", "key")), "labelled")
+    # one component, or one class, may hold a third of all rows: what joins them is a table of its own, so that the joins can be split
+    least = materialize(spark, own.groupBy("component").agg(F.min("least").alias("component_id")), "group-minima")
+    known = own.join(least, "component").select("key", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    known = materialize(spark, known, "class-results")
     alone = rows.filter("key IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = rows.filter("key IS NOT NULL").select("vec_id", "key").join(known, "key").select("vec_id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

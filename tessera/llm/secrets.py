@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import released_shuffles, scratch, slices, text_of, utf8_bytes
+from tessera.llm.common import materialize, released_shuffles, scratch, slices, text_of, utf8_bytes
 
 
 @dataclass(frozen=True)
@@ -130,6 +130,8 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
     kinds, versions = F.array(*(F.lit(r.kind) for r in rules)), F.array(*(F.lit(r.version) for r in rules))
     spans = ledger.filter(F.size("spans") > 0).select("blob_id", F.explode("spans").alias("s")).withColumn("k", F.array_position(versions, F.col("s.rule"))).filter("k > 0")
     by_blob = spans.groupBy("blob_id").agg(F.collect_set(F.struct(F.col("s.start").alias("start"), "k", F.col("s.stop").alias("stop"), F.element_at(kinds, F.col("k").cast("int")).alias("kind"))).alias("s"))
+    # a table of its own, so that the rows of one blob with very many copies can be split
+    by_blob = materialize(docs.sparkSession, by_blob, "blob-findings")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("blob_id"))
     return rows.join(by_blob.select("blob_id", F.array_sort("s").alias("spans")), "blob_id", "left").select("doc_id", F.coalesce("spans", F.expr("cast(array() as array<struct<start: int, k: bigint, stop: int, kind: string>>)")).alias("spans"))
 
