@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize
 
 
+#: Links that one task may hold.
+FEW = 50_000
+
+
 def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over one partition's links: at most one link (node, smallest node of its tree) per node stays."""
     parent: dict = {}
@@ -42,7 +46,7 @@ def connected_components(spark: SparkSession, links: DataFrame, max_rounds: int
     """(node, component) for every node of ``links(a, b)``; component is the smallest node that can be reached.
 
     Each partition first contracts its links to a forest; then alternating large-star and small-star rounds, each
-    written to the shared folder, run until nothing changes. A node's minimum is found with map-side combining, written,
+    written to the shared folder, run until nothing changes; ``FEW`` links and fewer are settled by one task at once. A node's minimum is found with map-side combining, written,
     and joined back between two plain exchanges, so a hub's links can be split between tasks. Empty input gives an empty table; links with a null end
     and self-links are ignored.
     """
@@ -54,6 +58,9 @@ def connected_components(spark: SparkSession, links: DataFrame, max_rounds: int
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(hash(a, b) as bigint))")).first()
         if now[0] == 0 or now == print_of:
             break
+        if now[0] <= FEW:
+            edges = materialize(spark, edges.coalesce(1).mapInArrow(_contract, f"a {kind}, b {kind}"), "links")
+            break
         print_of = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(spark, both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")

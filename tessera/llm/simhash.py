@@ -338,6 +338,12 @@ def _labelled(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataFr
     return materialize(spark, nodes.join(found, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "labels")
 
 
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes as links between their labels, where these differ."""
+    ends = links.select("a", "b").join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b")
+    return ends.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
 def _lowest(spark: SparkSession, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """(fp, component_id): the smallest least_id of each label, for nodes(fp, least_id) and labels(fp, label)."""
     own = materialize(spark, nodes.join(labels, "fp").select("fp", "label", "least_id"), "labelled")
@@ -381,14 +387,15 @@ def similar_groups(docs: DataFrame, similarity: float, width: int, words: int, r
         return materialize(spark, j.mapInArrow(_similar(similarity), "a binary, b binary, similar boolean"), "checked")
 
     first = checked(near_links(spark, nodes.select("fp"), tables, radius, tile, size))
-    good, bad = first.filter("similar"), first.filter("NOT similar")
-    labels = _labelled(spark, nodes.select("fp"), good)
-    if not bad.isEmpty():
-        # what hangs together by proposals, one of which failed
-        around = _labelled(spark, nodes.select("fp"), first)
-        open_ = around.join(bad.select(F.col("a").alias("fp")).distinct(), "fp", "left_semi").select("label").distinct()
-        open_ = materialize(spark, around.join(open_, "label", "left_semi").select("fp").join(labels, "fp"), "unsettled")
-        more = near_links(spark, open_, tables, radius, tile, size).distinct().join(bad.select("a", "b"), ["a", "b"], "left_anti")
-        labels = _labelled(spark, nodes.select("fp"), good.select("a", "b").unionByName(checked(more).filter("similar").select("a", "b")))
+    labels = _labelled(spark, nodes.select("fp"), first.filter("similar"))
+    apart = materialize(spark, _between(first.filter("NOT similar"), labels), "apart")
+    if not apart.isEmpty():
+        # groups that a failed pair proposed to join: all proposed pairs between them are checked
+        names = apart.select(F.col("a").alias("label")).unionByName(apart.select(F.col("b").alias("label"))).distinct()
+        open_ = materialize(spark, labels.join(names, "label", "left_semi").select("fp", "label"), "unsettled")
+        more = near_links(spark, open_, tables, radius, tile, size)
+        good = _between(checked(more).filter("similar"), open_)
+        joined = connected_components(spark, good).toDF("label", "top")
+        labels = materialize(spark, labels.join(joined, "label", "left").select("fp", F.coalesce("top", "label").alias("label")), "labels")
     ids = materialize(spark, _lowest(spark, nodes, labels), "components")
     return prints.join(ids, "fp").select("doc_id", "component_id")
