@@ -17,8 +17,6 @@ class Explorer:
 
     def step(self, slug: str, data_source: str | None = None, **params) -> Explorer:
         inputs = {IN1: self.df, IN2: self.tables[data_source]} if slug in _TWO else {"input data": self.df}
-        if slug == "sample" and float(params.get("fraction") or 0) > 1:
-            params["fraction"] = float(params["fraction"]) / 100
         if slug == "group" and not params.get("attributes"):
             return self
         if slug == "split" and "delimiter" in params:

@@ -81,9 +81,9 @@ family("fn_exponents", "part", "p_partkey", _rounded([
 ]))
 
 family("fn_numpy", "part", "p_partkey", [
-    ("fx", call("fix", binary("/", _neg, 2)), "trunc((p_size - 25) / 2)"), ("tr", call("trunc", binary("/", _neg, 2)), "trunc((p_size - 25) / 2)"), ("neg", call("negative", _s), "-p_size"), ("ad", call("add", _s, 1), "p_size + 1"), ("sb", call("subtract", _s, 1), "p_size - 1"), ("ml", call("multiply", _s, 2), "p_size * 2"),
-    ("dv", call("divide", _s, 4), "p_size / 4"), ("td", call("true_divide", _s, 4), "p_size / 4"), ("fd", call("floor_divide", _neg, 4), "floor((p_size - 25) / 4)"), ("rm", call("remainder", _neg, 7), "((p_size - 25) % 7 + 7) % 7"), ("md", call("mod", _neg, 7), "((p_size - 25) % 7 + 7) % 7"), ("fm", call("fmod", _neg, 7), "(p_size - 25) % 7"), ("mdl", call("modulo", _neg, 7), "(p_size - 25) % 7"),
-    ("cl", call("clip", _s, 10, 20), "least(greatest(p_size, 10), 20)"), ("nn", call("nan_to_num", _r), _price), ("fa", call("fabs", _neg), "abs(p_size - 25)"), ("sg", call("sign", _neg), "sign(p_size - 25)"), ("mx", call("maximum", _s, 25), "greatest(p_size, 25)"), ("mn", call("minimum", _s, 25), "least(p_size, 25)"),
+    ("fx", call("fix", binary("/", _neg, 2)), "trunc((p_size - 25) / 2)::BIGINT"), ("tr", call("trunc", binary("/", _neg, 2)), "trunc((p_size - 25) / 2)::BIGINT"), ("neg", call("negative", _s), "-p_size"), ("ad", call("add", _s, 1), "p_size + 1"), ("sb", call("subtract", _s, 1), "p_size - 1"), ("ml", call("multiply", _s, 2), "p_size * 2"),
+    ("dv", call("divide", _s, 4), "p_size / 4"), ("td", call("true_divide", _s, 4), "p_size / 4"), ("fd", call("floor_divide", _neg, 4), "floor((p_size - 25) / 4)::BIGINT"), ("rm", call("remainder", _neg, 7), "((p_size - 25) % 7 + 7) % 7"), ("md", call("mod", _neg, 7), "((p_size - 25) % 7 + 7) % 7"), ("fm", call("fmod", _neg, 7), "(p_size - 25) % 7"), ("mdl", call("modulo", _neg, 7), "(p_size - 25) % 7"),
+    ("cl", call("clip", _s, 10, 20), "least(greatest(p_size, 10), 20)"), ("nn", call("nan_to_num", _r), _price), ("fa", call("fabs", _neg), "abs(p_size - 25)"), ("sg", call("sign", _neg), "sign(p_size - 25)::DOUBLE"), ("mx", call("maximum", _s, 25), "greatest(p_size, 25)"), ("mn", call("minimum", _s, 25), "least(p_size, 25)"),
     ("la", call("logical_and", binary("-", _s, 5), _neg), "p_size <> 5 AND p_size <> 25"), ("lo", call("logical_or", binary("-", _s, 5), _neg), "p_size <> 5 OR p_size <> 25"), ("ln", call("logical_not", _neg), "p_size = 25"), ("lx", call("logical_xor", binary("-", _s, 5), _neg), "(p_size <> 5) <> (p_size <> 25)"),
     ("eq", call("equal", _s, 10), "p_size = 10"), ("ne", call("not_equal", _s, 10), "p_size <> 10"), ("gt", call("greater", _s, 10), "p_size > 10"), ("ge", call("greater_equal", _s, 10), "p_size >= 10"), ("lt", call("less", _s, 10), "p_size < 10"), ("le", call("less_equal", _s, 10), "p_size <= 10"),
     ("ae", call("array_equiv", call("array", _s, 1), call("array", 10, 1)), "p_size = 10"), ("nv", call("nanvl", _r, 0.0), _price), ("ls", call("least", _s, 10, 20), "least(p_size, 10, 20)"), ("when", call("when", binary(">", _s, 40), "big", binary(">", _s, 20), "middle", "small"), "CASE WHEN p_size > 40 THEN 'big' WHEN p_size > 20 THEN 'middle' ELSE 'small' END"),
