@@ -2,11 +2,15 @@
 
 Every version of a text is a blob, named by the SHA-256 of its UTF-8 bytes. The ledger, a Parquet table that is only ever
 appended to, says which rules (by a version derived from their pattern) have seen which blob, and what they found. A scan
-sends each blob it meets once to the executor that owns its name, drops the (blob, rule version) pairs the ledger already
-has, runs only the missing rules, appends the outcome, and joins findings back to all rows (paths) that hold the blob.
-Changing one rule rescans for that rule alone; a new copy of a known blob costs no scan.
+first sends names only, and drops those whose (blob, rule version) pairs the ledger already has. A bitmap of fixed size over
+the names that are left goes to all tasks, so that the texts of known blobs stay where they are, but for few that the bitmap
+mistakes. Each other text goes once a task to the executor that owns its name; the missing rules run, the outcome is appended,
+and findings are joined back to all rows (paths) that hold the blob. Changing one rule rescans for that rule alone; a new copy
+of a known blob costs no scan.
 
 Nulls: a null text is an empty text; a null doc_id keeps its row. Repeated rows are reported each. Empty table: no rows.
+Spans that begin at the same place stand in the order of the rules. Very long texts are scanned whole. Further columns of the
+input, whatever their names, play no part.
 Offsets are code points, end exclusive. Each rule's matches are leftmost and do not overlap; those below the rule's
 minimum length are dropped after matching.
 """
@@ -18,6 +22,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,19 +72,52 @@ def find(text: str, rules: Iterable[Rule]) -> list[tuple[str, int, int]]:
     return [(kind, start, stop) for start, _, stop, kind in sorted(out)]
 
 
-def _blobs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(blob_id, text), each blob once a task."""
-    met: set[bytes] = set()
-    for batch in slices(batches):
-        names, keep = [], []
-        for at, raw in enumerate(utf8_bytes(batch.column(1))):
-            name = hashlib.sha256(raw).digest()
-            if name not in met:
-                met.add(name)
-                names.append(name)
-                keep.append(at)
-        if keep:
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), batch.column(1).take(pa.array(keep))], names=["blob_id", "text"])
+#: Bits of the bitmap over unseen names: 2 MB, whatever the input. Full, it lets all texts through.
+_BITS = 1 << 24
+
+
+def _bits_of(names: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(n[:4] for n in names), "<u4") % np.uint32(_BITS)
+
+
+def _bitmap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names, or bitmaps, of one task in; one bitmap out."""
+    bits = np.zeros(_BITS // 8, np.uint8)
+    for batch in slices(batches, 1024):
+        found = batch.column(1).to_pylist()
+        if batch.schema.field(1).name == "bits":
+            for other in found:
+                bits |= np.frombuffer(other, np.uint8)
+        elif found:
+            at = _bits_of(found)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    if bits.any():
+        yield pa.RecordBatch.from_arrays([pa.array([int(bits[:8].view(np.uint64)[0] % 16)], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["lot", "bits"])
+
+
+def _blobs(seek=None, with_text: bool = True):
+    """(blob_id[, text]), each blob once a task; only what the bitmap holds, if there is one."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
+        bits = np.frombuffer(seek.value, np.uint8) if seek is not None else None
+        for batch in slices(batches):
+            every = [hashlib.sha256(raw).digest() for raw in utf8_bytes(batch.column(1))]
+            wanted = [True] * len(every)
+            if bits is not None and every:
+                at = _bits_of(every)
+                wanted = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool).tolist()
+            names, keep = [], []
+            for at, (name, use) in enumerate(zip(every, wanted, strict=True)):
+                if use and name not in met:
+                    met.add(name)
+                    names.append(name)
+                    keep.append(at)
+            if keep:
+                ids = pa.array(names, pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, batch.column(1).take(pa.array(keep))] if with_text else [ids], names=["blob_id", "text"] if with_text else ["blob_id"])
+
+    return run
 
 
 def _scan(rules: tuple[Rule, ...], known: bool):
@@ -112,14 +150,24 @@ def ledger_exists(spark: SparkSession, ledger: str) -> bool:
 
 def update_ledger(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan what the ledger at this path lacks, append it, and return the ledger."""
-    spark = docs.sparkSession
-    blobs = text_of(docs).mapInArrow(_blobs, "blob_id binary, text string")
+    spark, texts = docs.sparkSession, text_of(docs)
     known = ledger_exists(spark, ledger)
     if known:
         done = spark.read.schema(_LEDGER).parquet(ledger).select("blob_id", F.explode("versions").alias("v")).groupBy("blob_id").agg(F.collect_set("v").alias("done"))
-        blobs = blobs.join(done.hint("shuffle_hash"), "blob_id", "left").select("blob_id", "text", "done")
+        wanted = F.array(*(F.lit(r.version) for r in rules))
+        names = texts.mapInArrow(_blobs(with_text=False), "blob_id binary").distinct()
+        unseen = names.join(done, "blob_id", "left").filter(F.size(F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>")))) > 0)
+        unseen = materialize(spark, unseen, "unseen-blobs")
+        maps = unseen.select(F.lit(0).alias("lot"), "blob_id").mapInArrow(_bitmap, "lot int, bits binary")
+        whole = maps.repartition("lot").mapInArrow(_bitmap, "lot int, bits binary").collect()  # at most 16 bitmaps
+        seek = np.zeros(_BITS // 8, np.uint8)
+        for r in whole:
+            seek |= np.frombuffer(r.bits, np.uint8)
+        blobs = texts.mapInArrow(_blobs(spark.sparkContext.broadcast(seek.tobytes())), "blob_id binary, text string")
+        # dealt by name, so that copies from several tasks meet and are scanned once
+        blobs = blobs.repartition("blob_id").join(unseen.hint("merge"), "blob_id").select("blob_id", "text", "done")
     else:
-        blobs = blobs.repartition("blob_id")
+        blobs = texts.mapInArrow(_blobs(), "blob_id binary, text string").repartition("blob_id")
     with released_shuffles(spark):
         blobs.mapInArrow(_scan(rules, known), _LEDGER).write.mode("append").parquet(ledger)
     return spark.read.schema(_LEDGER).parquet(ledger)

@@ -49,3 +49,22 @@ def test_ledger_scans_only_what_it_lacks(spark, make_docs, tmp_path):
     got = {r.doc_id: r.spans for r in secrets.digest(found).collect()}
     assert got == {i: ",".join(f"{k}:{a}:{b}" for k, a, b in secrets.find(t or "", secrets.RULES)) for i, t in enumerate(TEXTS)}
     assert secrets.scan(make_docs(TEXTS).filter("false")).count() == 0
+
+
+def test_only_texts_that_the_bitmap_holds_are_sent():
+    import pyarrow as pa
+
+    texts = ["one", "two", "three", "two", ""]
+    names = {t: hashlib.sha256(t.encode()).digest() for t in texts}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["doc_id", "text"])
+    wanted = [pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int32()), pa.array([names["two"], names[""]], pa.binary())], names=["lot", "blob_id"])]
+    (one,) = secrets._bitmap(wanted)
+    (both,) = secrets._bitmap([one, one])
+    assert both.column(1)[0].as_py() == one.column(1)[0].as_py()
+
+    class Shared:
+        value = both.column(1)[0].as_py()
+
+    (got,) = secrets._blobs(Shared)([batch])
+    assert got.column(1).to_pylist() == ["two", ""] and got.column(0).to_pylist() == [names["two"], names[""]]
+    assert not list(secrets._bitmap([]))
