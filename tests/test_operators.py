@@ -230,3 +230,32 @@ def test_running_sums_over_ranges(spark):
         assert r.s == total
     assert [r["_v0"] for r in numbered(df, "at", [F.desc("_v0")]).orderBy("at").collect()] == list(range(4999, -1, -1))
     assert numbered(df.filter("false"), "at", [F.col("_v0")]).count() == 0
+
+
+def test_perceptron_regression(spark):
+    import numpy as np
+
+    from tessera.operators.neural import Perceptron
+
+    rng = np.random.default_rng(0)
+    net = Perceptron([(rng.normal(size=(2, 3)), rng.normal(size=3)), (rng.normal(size=(3, 1)), rng.normal(size=1))], "tanh", np.zeros(2), np.ones(2), 0.0, 1.0)
+    x, y = rng.normal(size=(5, 2)), rng.normal(size=5)
+    g = net.gradient(x, y)
+    flat = np.concatenate([np.concatenate((b, w.ravel())) for w, b in net.layers])
+    for i in range(len(flat)):  # slopes by differences
+        sides = []
+        for h in (1e-6, -1e-6):
+            v, at, layers = flat.copy(), 0, []
+            v[i] += h
+            for w, b in net.layers:
+                layers.append((v[at + len(b) : at + len(b) + w.size].reshape(w.shape), v[at : at + len(b)]))
+                at += len(b) + w.size
+            sides.append(Perceptron(layers, "tanh", net.centre, net.spread, 0.0, 1.0).gradient(x, y)[-2])
+        assert math.isclose(g[i], (sides[0] - sides[1]) / 2e-6, rel_tol=1e-4, abs_tol=1e-6)
+    rows = [(float(a), float(b), float(abs(a) + 2 * b)) for a, b in rng.uniform(-2, 2, (300, 2))] + [(None, 1.0, 1.0), (1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").repartition(3)
+    made = run("mlp-regressor-model", {"input data": df}, features=["a", "b"], label="y", layer_sizes="8", max_iter=80, learning_rate_init=0.05)["output data"].collect()
+    assert len(made) == 302 and all((r.prediction is None) == (r.a is None) for r in made)
+    known = [r for r in made if r.a is not None and r.y is not None]
+    mean = sum(r.y for r in known) / len(known)
+    assert sum((r.prediction - r.y) ** 2 for r in known) < 0.05 * sum((r.y - mean) ** 2 for r in known)
