@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.operators.durable import numbered, stored
 from tessera.operators.registry import IN, OUT, ParameterError, names, need, operator
@@ -75,10 +74,9 @@ def utm(lat: Column, lon: Column, zone: int, south: bool) -> tuple[Column, Colum
 
 
 def spread(labels, links, key: str = "k"):
-    """Smallest label reachable over links (a, b), by rounds of minima and jumps until nothing changes; each round is
-    checkpointed where the session has a folder for it, else persisted."""
-    context = labels.sparkSession.sparkContext
-    keep = (lambda df: df.checkpoint()) if context._jsc.sc().getCheckpointDir().isDefined() else (lambda df: df.persist())
+    """Smallest label reachable over links (a, b), by rounds of minima and jumps until nothing changes; each round is a
+    table in the shared folder, so that lineage stays short and nothing is left in memory."""
+    keep = lambda df: stored(df, "labels")
     now = keep(labels)
     while True:
         near = links.join(now.toDF("b", "lb"), "b").groupBy("a").agg(F.min("lb").alias("m"))
@@ -94,7 +92,7 @@ def spread(labels, links, key: str = "k"):
 def density_clusters(rows, links, least: int, alias: str):
     """Clusters of core rows (at least so many neighbours) and their borders; rows(k), links(a, b) both ways; -1 is noise."""
     degree = links.groupBy("a").agg(F.count("*").alias("n"))
-    core = degree.filter(F.col("n") >= least).select(F.col("a").alias("k")).persist()
+    core = stored(degree.filter(F.col("n") >= least).select(F.col("a").alias("k")), "core")
     inner = links.join(core.toDF("a"), "a", "left_semi").join(core.toDF("b"), "b", "left_semi")
     labels = spread(core.withColumn("label", F.col("k")), inner)
     border = links.join(labels.toDF("b", "lb"), "b").groupBy("a").agg(F.min("lb").alias("near"))
@@ -125,7 +123,7 @@ def st_dbscan(inputs, LAT="lat", LON="lon", DATETIME="time", key=None, spatial_t
     rows = rows.withColumns({"y": F.col("lat") * per, "x": F.col("lon") * per * F.cos(F.radians("lat"))}).drop("lat", "lon")
     eps, gap = float(spatial_threshold), float(thresold_temporal)
     near = (F.pow(F.col("a_x") - F.col("b_x"), F.lit(2)) + F.pow(F.col("a_y") - F.col("b_y"), F.lit(2)) <= eps**2) & (F.abs(F.col("a_t") - F.col("b_t")) <= gap)
-    links = grid_links(rows, ["x", "y", "t"], [eps, eps, gap], near).persist()
+    links = stored(grid_links(rows, ["x", "y", "t"], [eps, eps, gap], near), "neighbours")
     found = density_clusters(rows.select("k"), links, int(min_sample), alias)
     return {OUT: df.join(found, df[key].cast("long") == found["k"]).drop("k")}
 
@@ -138,7 +136,7 @@ def dbscan(inputs, features=None, eps=0.5, min_samples=5, key=None, prediction="
     rows = df.select(F.col(need(key, "key")).cast("long").alias("k"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(f)))
     test = reduce(lambda a, b: a + b, (F.pow(F.col(f"a_x{i}") - F.col(f"b_x{i}"), F.lit(2)) for i in range(len(f)))) <= float(eps) ** 2
     axes = [f"x{i}" for i in range(min(2, len(f)))]
-    links = grid_links(rows, axes, [float(eps)] * len(axes), test).persist()
+    links = stored(grid_links(rows, axes, [float(eps)] * len(axes), test), "neighbours")
     found = density_clusters(rows.select("k"), links, int(min_samples) - 1, prediction)
     return {OUT: df.join(found, df[key].cast("long") == found["k"]).drop("k")}
 

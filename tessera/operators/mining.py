@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth, PrefixSpan
 from pyspark.sql import functions as F
 
+from tessera.operators.durable import stored
 from tessera.operators.registry import IN, OUT, names, need, operator
 
 
@@ -46,17 +47,17 @@ def sequence_mining(inputs, attribute=None, min_support=0.1, max_pattern_length=
 
 @operator("page-rank")
 def page_rank(inputs, inlink="src", outlink="dst", damping_factor=0.85, maxIters=20, checkpoint_every=5, **_):  # noqa: N803
-    """Ranks by a fixed number of rounds; a rank starts at 1, and that of pages without links goes to nobody. Lineage is cut with
-    reliable checkpoints."""
+    """Ranks by a fixed number of rounds; a rank starts at 1, and that of pages without links goes to nobody. Links are a table in
+    the shared folder, and so are the ranks after every few rounds."""
     df = inputs[IN]
     links = df.select(F.col(inlink).alias("src"), F.col(outlink).alias("dst")).distinct()
     degrees = links.groupBy("src").agg(F.count("*").alias("n"))
-    edges = links.join(degrees, "src").persist()
-    pages = links.select("src").union(links.select("dst")).distinct().toDF("page").persist()
+    edges = stored(links.join(degrees, "src"), "edges")
+    pages = stored(links.select("src").union(links.select("dst")).distinct().toDF("page"), "pages")
     d, ranks = float(damping_factor), pages.withColumn("rank", F.lit(1.0))
     for i in range(int(maxIters)):
         given = edges.join(ranks, edges["src"] == ranks["page"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("given"))
         ranks = pages.join(given, pages["page"] == given["dst"], "left").select("page", (F.lit(1 - d) + d * F.coalesce("given", F.lit(0.0))).alias("rank"))
-        if (i + 1) % int(checkpoint_every) == 0 and df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            ranks = ranks.checkpoint()
+        if (i + 1) % int(checkpoint_every) == 0:
+            ranks = stored(ranks, "ranks")
     return {OUT: ranks}

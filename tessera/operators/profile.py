@@ -145,9 +145,11 @@ def binned(df, x: dict):
 
 
 @operator("chart", "bar-chart", "line-chart", "area-chart", "pie-chart", "donut-chart", "treemap", "funnel-chart", "bubble-chart", "scatter-plot", "plot-chart", "map", "map-chart", "chart-builder")
-def chart(inputs, x=None, y=None, max_displayed=None, group_others=True, filters=None, **_):
+def chart(inputs, x=None, y=None, max_displayed=None, group_others=True, fill_missing=False, filters=None, **_):
     """Rows for a chart: x entries {attribute, binning, bins, binSize, multiplier, max_displayed, sorting}, y entries {attribute,
-    aggregation, alias}. Beyond ``max_displayed`` the largest by the first y stay and the rest is one group, if y can be added."""
+    aggregation, alias}. Beyond ``max_displayed`` the largest by the first y stay and the rest is one group, if y can be added. With several x
+    and ``fill_missing`` each combination of shown values has a row, sums and counts being 0 where there are none. An x's
+    ``sorting`` is NATURAL, Y_ASC or Y_DESC."""
     df, keys = inputs[IN], []
     for i, e in enumerate(names(x) if isinstance(x, str) else x or []):
         e = {"attribute": e} if isinstance(e, str) else e
@@ -169,6 +171,17 @@ def chart(inputs, x=None, y=None, max_displayed=None, group_others=True, filters
             rest = made.join(best.select(F.col(key).alias("_b")), F.col(key).eqNullSafe(F.col("_b")), "left_anti").agg(*(F.sum(b).alias(b) for b in alias))
             best = best.withColumn(key, F.col(key).cast("string")).unionByName(rest.filter(F.col(alias[0]).isNotNull()).select(F.lit("others").alias(key), *alias))
         made = best
+    if fill_missing and len(keys) > 1:
+        # a chart shows few values of each x, so that all combinations are few as well
+        every = made.select(F.col(keys[0][0]).alias("_e0")).distinct()
+        for i, (k, *_) in enumerate(keys[1:], 1):
+            every = every.crossJoin(made.select(F.col(k).alias(f"_e{i}")).distinct())
+        j = every.join(made, [F.col(f"_e{i}").eqNullSafe(F.col(k)) for i, (k, *_) in enumerate(keys)], "left")
+        zero = {b for b, v in zip(alias, ys, strict=True) if v["aggregation"] in ("SUM", "COUNT", "COUNTD")}
+        made = j.select(*(F.col(f"_e{i}").alias(k) for i, (k, *_) in enumerate(keys)), *(F.coalesce(b, F.lit(0)).alias(b) if b in zero else F.col(b) for b in alias))
+    order = [c for k, _, _, e in keys for c in {"NATURAL": [F.asc(k)], "Y_ASC": [F.asc(alias[0]), F.asc(k)], "Y_DESC": [F.desc(alias[0]), F.asc(k)]}.get(e.get("sorting"), [])]
+    if order:
+        made = made.orderBy(*order)
     return {OUT: made.withColumnsRenamed({k: n for k, n, _, _ in keys})}
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.durable import free_name, running
+from tessera.operators.durable import free_name, running, stored
 from tessera.operators.registry import IN, OUT, names, need, operator
 
 
@@ -62,7 +62,7 @@ def cox(inputs, attributes=None, time_attribute=None, y_attribute=None, max_iter
     x = names(need(attributes, "attributes"))
     df, p = inputs[IN], len(x)
     beta = np.zeros(p)
-    rows = df.select(F.col(time_attribute).alias("t"), F.col(y_attribute).cast("int").alias("e"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x))).persist()
+    rows = stored(df.select(F.col(time_attribute).alias("t"), F.col(y_attribute).cast("int").alias("e"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x))), "survival")
     done = False
     for _i in range(int(max_iter)):
         risk = F.exp(sum((F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta)), F.lit(0.0)))
@@ -87,7 +87,6 @@ def cox(inputs, attributes=None, time_attribute=None, y_attribute=None, max_iter
         if np.abs(step).max() < float(tolerance):
             done = True
             break
-    rows.unpersist()
     errors = np.sqrt(np.diag(np.linalg.inv(h + 1e-12 * np.eye(p))))
     made = [(c, float(b), float(math.exp(b)), float(s), float(b / s) if s else None) for c, b, s in zip(x, beta, errors, strict=True)]
     return {OUT: df.sparkSession.createDataFrame(made, "covariate string, coefficient double, hazard_ratio double, standard_error double, z double"), "converged": done}
@@ -147,7 +146,7 @@ def neighbours(df, features: list[str], k: int, key: str, block: int = 4096):
 def local_outlier_factor(inputs, features=None, min_points=5, n_neighbors=None, alias="lof", key=None, **_):
     """Local outlier factor of each row (1 and less: as dense as around). ``key`` must be unique."""
     df, k = inputs[IN], int(n_neighbors or min_points)
-    near = neighbours(df, names(need(features, "features")), k, need(key, "key")).persist()
+    near = stored(neighbours(df, names(need(features, "features")), k, need(key, "key")), "neighbours")
     reach = near.groupBy("k").agg(F.max("dist").alias("kd"))
     j = near.join(reach.toDF("other", "okd"), "other").withColumn("rd", F.greatest("dist", "okd"))
     density = j.groupBy("k").agg((1 / F.greatest(F.avg("rd"), F.lit(1e-12))).alias("lrd"))
