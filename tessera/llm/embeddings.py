@@ -11,7 +11,8 @@ and one link of a spanning forest, never its pairs.
 
 Not linked at all: vectors that are null, empty, zero or hold a null or a component that is not finite, and those without
 label. Vectors of unlike length are not compared. Repeated rows are copies of one another. A null vec_id keeps its row and
-counts as larger than every id. Empty table: no rows.
+counts as larger than every id. Vectors of any length are compared whole. Further columns, whatever their names, play no part.
+Empty table: no rows.
 """
 
 from __future__ import annotations

@@ -35,6 +35,8 @@ from tessera.llm.common import materialize, slices, text_of, utf8_bytes
 from tessera.llm.graph import connected_components
 
 TILE = 4096
+#: Texts with their sets of shingles in a chunk of a tile.
+SETTLE = 512
 #: Rows of whole groups that are compared in one go, and pairs of a query with a word of 64 lanes that share the caches.
 _ROWS, _PAIRS = 16_384, 8_192
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -140,9 +142,7 @@ def _similar(least: float):
         for batch in slices(batches):
             out = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.sort(np.concatenate((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"))))
-                common = int((both[1:] == both[:-1]).sum())
-                out.append(common >= least * (len(both) - common) - 1e-9)
+                out.append(_alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), least))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["a", "b", "similar"])
 
     return run
@@ -269,67 +269,125 @@ def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label[:] = up
 
 
-def _forest(radius: int, size: int | None = None, apart: bool = False):
-    """Sorted (key, a, b, chunk, fp[, label]) rows in; pairs (fp, fp) within the radius out that span what all pairs join, or,
-    ``apart``, all pairs whose labels differ."""
-
-    def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        prints = [r[4] for r in rows]
-        bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(rows), -1)[:, :size], axis=1)
-        names = [r[:3] for r in rows]
-        change = np.array([True] + [x != y for x, y in zip(names[1:], names, strict=False)])
-        a, b, chunk = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-        label = np.unique([r[5] for r in rows], return_inverse=True)[1] if apart else np.arange(len(rows))
-        own = np.array(prints, dtype=object)
-        for x, y in within(bits, np.cumsum(change) - 1, (chunk == b).astype(np.int64), a != b, radius):
-            if apart:
-                keep = np.flatnonzero((label[x] != label[y]) & (own[x] < own[y])) if len(x) else x
-                # a pair of two chunks is met in one order only
-                other = np.flatnonzero((label[x] != label[y]) & (a[x] != b[x]) & (own[x] > own[y])) if len(x) else x
-                x, y = np.concatenate((x[keep], y[other])), np.concatenate((y[keep], x[other]))
-            else:
-                new = spanning(label, x, y)
-                x, y = x[new], y[new]
+def _forest(radius: int, size: int | None = None):
+    """Sorted (key, a, b, chunk, fp) rows in; pairs (fp, fp) within the radius out that span what all pairs join."""
+
+    def compare(names: np.ndarray, chunk: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """names: rows (key, a, b); prints: rows of bytes."""
+        change = (names[1:] != names[:-1]).any(axis=1)
+        new = np.concatenate(([True], change))
+        alone = new & np.concatenate((change, [True]))
+        some = np.flatnonzero(~alone)
+        if not len(some):
+            return
+        names, chunk, prints, new = names[some], chunk[some], np.ascontiguousarray(prints[some]), new[some]
+        bits = np.unpackbits(prints[:, :size], axis=1)
+        label = np.arange(len(some))
+        a, b = names[:, 1], names[:, 2]
+        own = prints.view(f"V{prints.shape[1]}")[:, 0]
+        for x, y in within(bits, np.cumsum(new) - 1, (chunk == b).astype(np.int64), a != b, radius):
+            joined = spanning(label, x, y)
+            x, y = x[joined], y[joined]
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(own[x].tolist(), pa.binary()), pa.array(own[y].tolist(), pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in own[z]], pa.binary()) for z in (x, y)], names=["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows, wait = 0, _ROWS // 4
+
+        def block(last: bool) -> Iterator[pa.RecordBatch]:
+            """Whole groups are compared; the last group may have more rows to come."""
+            nonlocal held, rows
+            if not rows:
+                return
+            names, chunk, prints = (np.concatenate([h[i] for h in held]) for i in range(3))
+            n = rows
+            if not last:
+                other = np.flatnonzero((names != names[-1]).any(axis=1))
+                n = int(other[-1]) + 1 if len(other) else 0
+            if n:
+                yield from compare(names[:n], chunk[:n], prints[:n])
+            held, rows = [(names[n:], chunk[n:], prints[n:])], rows - n
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "a", "b")], axis=1)
+            prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            held.append((names, batch.column("chunk").to_numpy(), prints))
+            rows += batch.num_rows
+            if rows >= wait:
+                yield from block(False)
+                wait = max(_ROWS // 4, 2 * rows)
+        yield from block(True)
+
+    return run
 
-    columns = ("key", "a", "b", "chunk", "fp", *["label"] * apart)
+
+def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets of shingles have this Jaccard similarity; their sizes alone may tell."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)) - 1e-9:
+        return False
+    both = np.sort(np.concatenate((x, y)))
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= least * (len(both) - common) - 1e-9
+
+
+def _settle(radius: int, size: int, least: float):
+    """Sorted (top, a, b, chunk, fp, label, shingles) rows in; links (label, label) out that join what some similar pair within
+    the radius joins. Pairs are looked at where they are; at most one a label goes on."""
+
+    def compare(rows: list[tuple]) -> pa.RecordBatch | None:
+        """Rows (a, b, chunk, fp, label, shingles) of one tile."""
+        bits = np.unpackbits(np.frombuffer(b"".join(r[3][:size] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
+        names, label = np.unique(np.array([r[4] for r in rows], dtype=object), return_inverse=True)
+        crossed = rows[0][0] != rows[0][1]
+        side = np.array([r[2] == r[1] for r in rows], np.int64)
+        sets = [np.frombuffer(r[5], "<u8") for r in rows]
+        root = np.arange(len(names))
+        links = []
+        for x, y in within(bits, np.zeros(len(rows), np.int64), side, np.full(len(rows), crossed), radius):
+            once = x < y if not crossed else np.ones(len(x), bool)
+            for i, j in zip(x[once].tolist(), y[once].tolist(), strict=True):
+                p, q = int(root[label[i]]), int(root[label[j]])
+                if p != q and _alike(sets[i], sets[j], least):
+                    root[root == max(p, q)] = min(p, q)
+                    links.append((names[label[i]], names[label[j]]))
+        if not links:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in links], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # whole groups
-        group: list[tuple] = []
-        for batch in slices(batches, 4096):
-            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                if group and group[0][:3] != row[:3]:
-                    if len(group) > 1:
-                        held += group
-                    group = []
-                    if len(held) >= _ROWS // 4:
-                        yield from compare(held)
-                        held = []
-                group.append(row)
-        if len(group) > 1:
-            held += group
-        if held:
-            yield from compare(held)
+        held, tile = [], None
+        for batch in slices(batches, 256):
+            for top, *row in zip(*(batch.column(c).to_pylist() for c in ("top", "a", "b", "chunk", "fp", "label", "shingles")), strict=True):
+                if (top, row[0], row[1]) != tile:
+                    if len(held) > 1 and (out := compare(held)) is not None:
+                        yield out
+                    held, tile = [], (top, row[0], row[1])
+                held.append(tuple(row))
+        if len(held) > 1 and (out := compare(held)) is not None:
+            yield out
 
     return run
 
 
+def _tiled(rows: DataFrame, key: str, counts: DataFrame, tile: int) -> DataFrame:
+    """Each row once for every pair of chunks of its key's rows that has its chunk: key, a, b, chunk and the other columns."""
+    j = rows.join(counts, key).withColumn("chunks", F.ceil(F.col("n") / tile).cast("int")).drop("n")
+    j = j.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    j = j.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiled = j.withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")}).drop("chunks", "other")
+    return tiled.repartition(key, "a", "b").sortWithinPartitions(key, "a", "b")
+
+
 def near_links(spark: SparkSession, prints: DataFrame, tables: list[np.ndarray], radius: int, tile: int = TILE, size: int | None = None) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``prints(fp[, label])``; their components are those of all pairs within the
-    radius that share a key. With labels, all pairs whose labels differ, some of them repeatedly."""
-    apart = "label" in prints.columns
-    keyed = prints.select("fp").mapInArrow(_keys(tables, size), "key long, fp binary")
+    """Links (a, b) between distinct fingerprints ``prints(fp)``; their components are those of all pairs within the radius
+    that share a key."""
+    keyed = prints.mapInArrow(_keys(tables, size), "key long, fp binary")
     # a table of its own, so that the join has two plain exchanges and can split a key with many fingerprints
     crowd = materialize(spark, keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "crowded-keys")
-    j = keyed.join(crowd, "key").select("key", "fp", F.ceil(F.col("n") / tile).cast("int").alias("chunks"))
-    if apart:
-        j = j.join(prints, "fp")
-    j = j.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    j = j.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiled = j.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "fp", *["label"] * apart)
-    return tiled.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_forest(radius, size, apart), "a binary, b binary")
+    return _tiled(keyed, "key", crowd, tile).mapInArrow(_forest(radius, size), "a binary, b binary")
 
 
 def _labelled(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -341,7 +399,7 @@ def _labelled(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataFr
 def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
     """Links (a, b) between nodes as links between their labels, where these differ."""
     ends = links.select("a", "b").join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b")
-    return ends.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return ends.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def _lowest(spark: SparkSession, nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -367,35 +425,36 @@ def similar_groups(docs: DataFrame, similarity: float, width: int, words: int, r
     have this Jaccard similarity, among those whose fingerprints share a key and lie within the radius.
 
     Fingerprints propose, the sets of shingles decide. First one spanning forest of the proposed pairs is checked. Where a pair
-    of it fails, all proposed pairs around it that the good ones have not joined yet are checked as well, so that no good pair
-    is missed. Texts with the same set of shingles are one node; a text without words is linked with its like only.
+    of it fails, the groups around it meet in tiles with their sets, and every pair within the radius between groups that
+    are not joined yet is checked there, so that no good pair is missed; only what joins two groups leaves a tile. Texts with
+    the same set of shingles are one node; a text without words is linked with its like only.
     """
     spark, size = docs.sparkSession, 8 * words
     texts = text_of(docs)
     prints = materialize(spark, texts.mapInArrow(_set_prints(width, words), "doc_id long, fp binary"), "fingerprints")
     nodes = materialize(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
 
-    def checked(links: DataFrame) -> DataFrame:
-        links = materialize(spark, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
-        ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
-        wanted = nodes.join(ends, "fp", "left_semi").select(F.col("least_id").alias("doc_id")).distinct()
-        # the same id may have several texts; those that are not asked for meet no pair
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(fp, shingles) of these nodes, and of few others: an id may have several texts."""
+        wanted = nodes.join(some, "fp", "left_semi").select(F.col("least_id").alias("doc_id")).distinct()
         found = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
         sets = found.mapInArrow(_shingle_sets(width, words), "fp binary, shingles binary")
-        sets = materialize(spark, sets.groupBy("fp").agg(F.first("shingles").alias("shingles")), "shingle-sets")
-        j = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return materialize(spark, j.mapInArrow(_similar(similarity), "a binary, b binary, similar boolean"), "checked")
+        return materialize(spark, sets.groupBy("fp").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
-    first = checked(near_links(spark, nodes.select("fp"), tables, radius, tile, size))
+    links = near_links(spark, nodes.select("fp"), tables, radius, tile, size)
+    links = materialize(spark, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+    sets = sets_of(links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct())
+    j = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    first = materialize(spark, j.mapInArrow(_similar(similarity), "a binary, b binary, similar boolean"), "checked")
     labels = _labelled(spark, nodes.select("fp"), first.filter("similar"))
     apart = materialize(spark, _between(first.filter("NOT similar"), labels), "apart")
     if not apart.isEmpty():
-        # groups that a failed pair proposed to join: all proposed pairs between them are checked
-        names = apart.select(F.col("a").alias("label")).unionByName(apart.select(F.col("b").alias("label"))).distinct()
-        open_ = materialize(spark, labels.join(names, "label", "left_semi").select("fp", "label"), "unsettled")
-        more = near_links(spark, open_, tables, radius, tile, size)
-        good = _between(checked(more).filter("similar"), open_)
-        joined = connected_components(spark, good).toDF("label", "top")
-        labels = materialize(spark, labels.join(joined, "label", "left").select("fp", F.coalesce("top", "label").alias("label")), "labels")
+        around = materialize(spark, connected_components(spark, apart).toDF("label", "top"), "around")
+        open_ = materialize(spark, labels.join(around, "label").select("fp", "label", "top").join(sets, "fp"), "unsettled")
+        counts = materialize(spark, open_.groupBy("top").agg(F.count("*").alias("n")), "unsettled-sizes")
+        tiles = _tiled(open_, "top", counts, min(tile, SETTLE)).select("top", "a", "b", "chunk", "fp", "label", "shingles")
+        good = tiles.mapInArrow(_settle(radius, size, similarity), "a binary, b binary")
+        joined = materialize(spark, connected_components(spark, good).toDF("label", "more"), "joined")
+        labels = materialize(spark, labels.join(joined, "label", "left").select("fp", F.coalesce("more", "label").alias("label")), "labels")
     ids = materialize(spark, _lowest(spark, nodes, labels), "components")
     return prints.join(ids, "fp").select("doc_id", "component_id")
