@@ -110,12 +110,12 @@ def _fingerprints(width: int, words: int):
 
 
 def _set_prints(width: int, words: int):
-    """(doc_id, fp): the fingerprint of the set of shingles, followed by a digest of that set."""
+    """(doc_id, h, fp) of (doc_id, text, h): the fingerprint of the set of shingles, followed by a digest of that set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             prints = [_set_print(np.unique(shingle_hashes(raw, width)), words) for raw in utf8_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.binary())], names=["doc_id", "h", "fp"])
 
     return run
 
@@ -420,9 +420,8 @@ def simhash_groups(docs: DataFrame, width: int = 3, words: int = 1, radius: int
     return prints.join(ids, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, similarity: float, width: int, words: int, radius: int, tables: list[np.ndarray], tile: int = TILE) -> DataFrame:
-    """doc_id, component_id (smallest doc_id that can be reached) for every row; texts are linked if their sets of shingles
-    have this Jaccard similarity, among those whose fingerprints share a key and lie within the radius.
+def _similar_labels(docs: DataFrame, similarity: float, width: int, words: int, radius: int, tables: list[np.ndarray], tile: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, h, fp) of every row, h a hash of its text; (fp, least_id) of every set of shingles; (fp, label), its group.
 
     Fingerprints propose, the sets of shingles decide. First one spanning forest of the proposed pairs is checked. Where a pair
     of it fails, the groups around it meet in tiles with their sets, and every pair within the radius between groups that
@@ -431,7 +430,8 @@ def similar_groups(docs: DataFrame, similarity: float, width: int, words: int, r
     """
     spark, size = docs.sparkSession, 8 * words
     texts = text_of(docs)
-    prints = materialize(spark, texts.mapInArrow(_set_prints(width, words), "doc_id long, fp binary"), "fingerprints")
+    prints = texts.withColumn("h", F.xxhash64("text")).mapInArrow(_set_prints(width, words), "doc_id long, h long, fp binary")
+    prints = materialize(spark, prints, "fingerprints")
     nodes = materialize(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
 
     def sets_of(some: DataFrame) -> DataFrame:
@@ -456,5 +456,46 @@ def similar_groups(docs: DataFrame, similarity: float, width: int, words: int, r
         good = tiles.mapInArrow(_settle(radius, size, similarity), "a binary, b binary")
         joined = materialize(spark, connected_components(spark, good).toDF("label", "more"), "joined")
         labels = materialize(spark, labels.join(joined, "label", "left").select("fp", F.coalesce("more", "label").alias("label")), "labels")
+    return prints, nodes, labels
+
+
+def similar_groups(docs: DataFrame, similarity: float, width: int, words: int, radius: int, tables: list[np.ndarray], tile: int = TILE) -> DataFrame:
+    """doc_id, component_id (smallest doc_id that can be reached) for every row; texts are linked if their sets of shingles
+    have this Jaccard similarity, among those whose fingerprints share a key and lie within the radius."""
+    spark = docs.sparkSession
+    prints, nodes, labels = _similar_labels(docs, similarity, width, words, radius, tables, tile)
     ids = materialize(spark, _lowest(spark, nodes, labels), "components")
     return prints.join(ids, "fp").select("doc_id", "component_id")
+
+
+def near_deduplicate(docs: DataFrame, similarity: float, width: int, words: int, radius: int, tables: list[np.ndarray], tile: int = TILE) -> DataFrame:
+    """The rows of ``docs`` that stay, with its columns: of each group of ``similar_groups`` the row with the smallest doc_id.
+
+    Rows go, not ids: a row is told by its id and a hash of its text, so an id that several texts share, or none, loses no
+    text. Among rows with the same id (null comes last) the smallest hash stays; of rows that repeat both, one.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    prints, _, labels = _similar_labels(docs, similarity, width, words, radius, tables, tile)
+    own = prints.join(labels, "fp").groupBy("label", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    own = materialize(spark, own, "labelled")
+    # one label may hold a third of all rows: what stays is a table of its own, so that the join can be split
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "n")).alias("s")
+    stays = materialize(spark, own.groupBy("label").agg(first), "group-firsts")
+    gone = own.join(stays, "label").filter(~(F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("h") == F.col("s.h"))))
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h"))
+    marked = docs.toDF(*(f"_c{i}" for i in range(len(names))))
+    id_, text = (F.col(f"_c{names.index(c)}") for c in ("doc_id", "text"))
+    marked = marked.withColumn("_own", F.xxhash64(F.coalesce(text, F.lit(""))))
+
+    def same(other: DataFrame) -> F.Column:
+        return id_.cast("long").eqNullSafe(other["_gone"]) & (F.col("_own") == other["_h"])
+
+    # never broadcast: nothing bounds the number of copies
+    left = marked.join(gone.hint("merge"), same(gone), "left_anti")
+    columns = [f"_c{i}" for i in range(len(names))]
+    twice = stays.filter("s.n > 1").select(F.col("s.doc_id").alias("_gone"), F.col("s.h").alias("_h"))
+    if twice.isEmpty():
+        return left.select(columns).toDF(*names)
+    once = left.join(twice.hint("merge"), same(twice), "left_anti").select(columns)
+    again = left.join(twice.hint("merge"), same(twice), "left_semi").dropDuplicates([columns[names.index("doc_id")], "_own"]).select(columns)
+    return once.unionByName(again).toDF(*names)
