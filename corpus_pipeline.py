@@ -6,7 +6,6 @@ Each stage is a function (spark, docs, sf_dir) that returns a DataFrame; all but
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import bpe, exact, langid, mixing, simhash
 from tessera.llm.common import documents, materialize
@@ -31,11 +30,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document (smallest id) of each group of near copies."""
-    groups = simhash.similar_groups(docs, SIMILARITY, SHINGLE, PRINT_WORDS, RADIUS, simhash.sampled_tables())
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    # never broadcast: nothing bounds the number of copies
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
+    """The first document (smallest id) of each group of near copies; rows go, so texts that share an id, or have none, count
+    one by one."""
+    return simhash.near_deduplicate(docs, SIMILARITY, SHINGLE, PRINT_WORDS, RADIUS, simhash.sampled_tables())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
