@@ -68,3 +68,13 @@ def test_only_texts_that_the_bitmap_holds_are_sent():
     (got,) = secrets._blobs(Shared)([batch])
     assert got.column(1).to_pylist() == ["two", ""] and got.column(0).to_pylist() == [names["two"], names[""]]
     assert not list(secrets._bitmap([]))
+
+
+def test_each_rule_is_linear_in_its_own_prefix():
+    import time
+
+    for start in ("eyJ", "eyJa.eyJ", "AKIA", "ghp_", "xoxb-", "password ", "password=", "-----BEGIN ", "0a", "api_key"):
+        text = start * (2_000_000 // len(start))
+        began = time.process_time()
+        secrets.find(text, secrets.RULES)
+        assert time.process_time() - began < 10, start
