@@ -41,7 +41,7 @@ STATES = 4
 ROUNDS = 2
 SAMPLE_DOCS = 1500
 SAMPLE_TOKENS = 600_000
-#: Weight, in tokens, of the unigram in each state's emissions, and of even chances in the transitions.
+#: Weight, in tokens, of even chances in the transitions, and the least one of the unigram in each state's emissions.
 PRIOR = 200.0
 #: Distinct words a task counts before it sends them on; tokens recursed at once; symbols in a piece of the counts.
 _HELD, _TOKENS, _PIECE = 300_000, 300_000, 4096
@@ -59,6 +59,14 @@ class Vocabulary:
     def other(self) -> int:
         return len(self.unigram) - 1
 
+    @property
+    def weight(self) -> float:
+        """Weight, in tokens, of the unigram in each state's emissions: as many tokens as there are distinct training words.
+
+        Words that a state has not met are as frequent as words it met for the first time; so the share that is left to the
+        unigram falls as the texts grow, but no faster than new words come."""
+        return max(PRIOR, float(self.distinct))
+
 
 @dataclass
 class Model:
@@ -140,11 +148,13 @@ def expected(seqs: list[np.ndarray], model: Model, of: int | None = None):
     return *out, gamma[step[np.concatenate(seqs) == of]]
 
 
-def maximise(first: np.ndarray, moves: np.ndarray, emissions: np.ndarray, unigram: np.ndarray, prior: float = PRIOR) -> Model:
+def maximise(first: np.ndarray, moves: np.ndarray, emissions: np.ndarray, unigram: np.ndarray, prior: float = PRIOR, weight: float | None = None) -> Model:
+    """weight: that of the unigram in the emissions, ``prior`` if not given."""
+    weight = prior if weight is None else weight
     k = len(first)
     start = (first + 1 / k) / (first.sum() + 1)
     move = (moves + prior / k) / (moves.sum(axis=1, keepdims=True) + prior)
-    emit = (emissions + prior * unigram[:, None]) / (emissions.sum(axis=0) + prior)
+    emit = (emissions + weight * unigram[:, None]) / (emissions.sum(axis=0) + weight)
     return Model(start, move, emit)
 
 
@@ -284,7 +294,7 @@ def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["word", "g"])
 
 
-def baum_welch(sequences: DataFrame, model: Model, unigram: np.ndarray, with_words: bool = False) -> tuple[Model, float, DataFrame | None, np.ndarray]:
+def baum_welch(sequences: DataFrame, model: Model, unigram: np.ndarray, with_words: bool = False, weight: float | None = None) -> tuple[Model, float, DataFrame | None, np.ndarray]:
     """One round over all rows of ``sequences(symbols, rare_at, rare)``: the next model, the log10 likelihood under this one,
     expected counts (word, g) of the words without a symbol if asked for, and the states' sums of expected counts.
 
@@ -307,7 +317,7 @@ def baum_welch(sequences: DataFrame, model: Model, unigram: np.ndarray, with_wor
         return model, 0.0, words, np.zeros(k)
     emissions = np.concatenate([by[i] for i in sorted(by) if i >= 0]).reshape(-1, k)
     small = by[-1]
-    return maximise(small[:k], small[k : k + k * k].reshape(k, k), emissions, unigram), float(small[-1]), words, emissions.sum(axis=0)
+    return maximise(small[:k], small[k : k + k * k].reshape(k, k), emissions, unigram, weight=weight), float(small[-1]), words, emissions.sum(axis=0)
 
 
 def vocabulary(counts: DataFrame, top: int = TOP) -> Vocabulary:
@@ -353,7 +363,7 @@ def train(coded: DataFrame, voc: Vocabulary, states: int = STATES, rounds: int =
     sample = [np.frombuffer(bytes(r.symbols), "<u2").astype(np.int64) for r in sorted(chosen.select("symbols", name.alias("name")).collect(), key=lambda r: (r.name, bytes(r.symbols)))]
     model, words, sums = fit_sample(sample, voc.unigram, states), None, np.zeros(states)
     for i in range(rounds):
-        model, _, words, sums = baum_welch(learn, model, voc.unigram, i == rounds - 1)
+        model, _, words, sums = baum_welch(learn, model, voc.unigram, i == rounds - 1, voc.weight)
     return model, words, sums
 
 
@@ -376,7 +386,7 @@ def score_documents(docs: DataFrame, top: int = TOP, states: int = STATES, round
     if expected_words is not None:
         known = materialize(spark, known.join(expected_words, "word", "left"), "emissions")
         g = F.col("g")
-    emission = F.array(*((F.coalesce(g[i], F.lit(0.0)) + F.lit(PRIOR) * unigram) / F.lit(float(sums[i]) + PRIOR) for i in range(states)))
+    emission = F.array(*((F.coalesce(g[i], F.lit(0.0)) + F.lit(voc.weight) * unigram) / F.lit(float(sums[i]) + voc.weight) for i in range(states)))
     tokens = coded.select("row", F.posexplode("rare").alias("at", "r")).select("row", "at", "r.word", "r.n")
     met = tokens.join(known, "word", "left")
     rare = met.groupBy("row").agg(

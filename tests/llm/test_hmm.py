@@ -144,7 +144,7 @@ def test_scores_against_brute_force(spark, make_docs, top, monkeypatch):
         total = sum(by_word.values())
         begin = (starts + 1 / k) / (starts.sum() + 1)
         move = (moves + hmm.PRIOR / k) / (moves.sum(axis=1, keepdims=True) + hmm.PRIOR)
-        each = lambda w, e=by_word, s=total: (e.get(w, 0) + hmm.PRIOR * (counts[w] + 1) / ways) / (s + hmm.PRIOR)
+        each = lambda w, e=by_word, s=total: (e.get(w, 0) + voc.weight * (counts[w] + 1) / ways) / (s + voc.weight)
         symbol = np.array([each("")] + [each(w.decode()) for w in voc.symbols] + [sum((each(w) for w in counts if place(w) == voc.other), each("never"))])
     assert np.allclose(sum(each(w) for w in counts) + each("never"), 1)
     for i, t in data:
@@ -165,3 +165,10 @@ def test_scores_do_not_depend_on_the_layout(spark, make_docs):
 def test_too_many_symbols_are_an_error(spark, make_docs):
     with pytest.raises(ValueError, match="symbols"):
         hmm.score_documents(make_docs(["a"]), top=70_000)
+
+
+def test_unseen_texts_are_better_told_than_by_the_unigram(spark):
+    """Over the whole test table: held-out texts have a higher likelihood than under the add-one unigram, and so have most of them."""
+    rows = hmm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    assert sum(r.score > r.base_score for r in rows) > 0.5 * len(rows)
