@@ -13,7 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
-from tessera.operators.durable import running
+from tessera.operators.durable import free_name, numbered, running
+from tessera.operators.neighbours import nearest
 from tessera.operators.registry import IN, OPERATORS, OUT, ParameterError, flag, names, need, operator
 
 
@@ -191,7 +192,6 @@ REGRESSORS = {
     "aft-survival-regression": _estimator(G.AFTSurvivalRegression, {"max_iter": ("maxIter", int), "censor": ("censorCol", str), "aggregation_depth": ("aggregationDepth", int), "quantiles_col": ("quantilesCol", str)}),
     "isotonic-regression": _estimator(G.IsotonicRegression, {"isotonic": ("isotonic", flag)}),
     "huber-regressor": _estimator(G.LinearRegression, {"max_iter": ("maxIter", int), "epsilon": ("epsilon", float), "tol": ("tol", float)}, {"loss": "huber"}),
-    "sgd-regressor": _estimator(G.LinearRegression, _FIT),
     "fm-regression": _estimator(G.FMRegressor, {"factor_size": ("factorSize", int), "max_iter": ("maxIter", int), "step_size": ("stepSize", float)}),
 }
 CLUSTERERS = {
@@ -222,6 +222,8 @@ _algorithm_operator("als-recommender", _estimator(R.ALS, {"rank": ("rank", int),
 
 def fit(df, algorithm, features=None, label=None, prediction="prediction"):
     """Fit on one vector column or on number columns; text labels are indexed and predictions named back."""
+    if hasattr(algorithm, "fit_rows"):  # not one of Spark's
+        return algorithm.fit_rows(df, names(need(features, "features")), need(label, "label"), prediction)
     found, stages, back = names(need(features, "features")), [], []
     column = found[0]
     if len(found) > 1 or dict(df.dtypes)[found[0]] != "vector":
@@ -254,7 +256,7 @@ def fit(df, algorithm, features=None, label=None, prediction="prediction"):
 def fit_model(inputs, features=None, label=None, prediction="prediction", **_):
     df = inputs.get("train input data", inputs.get(IN))
     made = fit(df, inputs["algorithm"], features, label, prediction)
-    last = [s for s in made["model"].stages if hasattr(s, "clusterCenters")]
+    last = [s for s in getattr(made["model"], "stages", []) if hasattr(s, "clusterCenters")]
     if last:
         made["cluster centroids"] = df.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(last[-1].clusterCenters())], "cluster int, centroid array<double>")
     return made
@@ -277,7 +279,7 @@ for _slug, _make in {
     "lda-clustering-model": CLUSTERERS["lda-clustering"], "decision-tree-regression-model": REGRESSORS["decision-tree-regressor"], "isotonic-regression-model": REGRESSORS["isotonic-regression"], "isotonic-regressor-model": REGRESSORS["isotonic-regression"],
     "aft-survival-regression-model": REGRESSORS["aft-survival-regression"], "gbt-regressor-model": REGRESSORS["gbt-regressor"], "random-forest-regressor-model": REGRESSORS["random-forest-regressor"],
     "generalized-linear-regressor-model": REGRESSORS["generalized-linear-regressor"], "generalized-linear-regression": REGRESSORS["generalized-linear-regressor"], "linear-regression-model": REGRESSORS["linear-regression"],
-    "huber-regressor-model": REGRESSORS["huber-regressor"], "sgd-regressor-model": REGRESSORS["sgd-regressor"], "agglomerative-clustering": CLUSTERERS["bkm_clustering"],
+    "huber-regressor-model": REGRESSORS["huber-regressor"],
 }.items():
     _model_operator(_slug, _make)
 
@@ -314,18 +316,41 @@ def k_modes(inputs, features=None, number_of_clusters=2, max_iterations=20, pred
     return {OUT: df.withColumn(prediction, assigned()), "cluster centroids": centres, "model": modes}
 
 
-@operator("knn-classifier-model", "knn-classifier")
-def knn(inputs, features=None, label=None, n_neighbors=5, prediction="prediction", key=None, **_):
-    """The most frequent label among the nearest other rows, ties by label."""
-    from pyspark.sql.window import Window
+class NearestRows:
+    """Training rows as a model: ``transform`` gives each row the most frequent label of its nearest training rows."""
+
+    def __init__(self, df, features, label, k, metric="euclidean", prediction="prediction"):
+        rows = df.select(*features, F.col(label).alias("_l")).filter(F.col("_l").isNotNull())
+        self.rows, self.features, self.k, self.metric, self.prediction = numbered(rows, "_id"), features, k, metric, prediction
+
+    def transform(self, df):
+        (row,) = free_name(df, "_row")
+        asked = numbered(df, row)
+        points = self.rows.select(F.col("_id").alias(row), *self.features)
+        near = nearest(points, self.features, self.k, row, queries=asked, metric=self.metric)
+        return _voted(asked, row, near, self.rows.select(F.col("_id").alias("other"), "_l"), self.prediction, df.columns)
 
-    from tessera.operators.stats import neighbours
 
-    df = inputs.get(IN, inputs.get("train input data"))
-    near = neighbours(df, names(features), int(n_neighbors), need(key, "key"))
-    votes = near.join(df.select(F.col(key).cast("long").alias("other"), F.col(label).alias("_l")), "other").groupBy("k", "_l").count()
-    best = votes.withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("count"), "_l"))).filter("_r = 1").select("k", F.col("_l").alias(prediction))
-    return {OUT: df.join(best, df[key].cast("long") == best["k"], "left").drop("k")}
+def _voted(rows, row, near, labels, prediction, columns):
+    """The most frequent label of each row's neighbours, ties to the smaller one."""
+    votes = near.join(labels, "other").groupBy("k", "_l").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("k").agg(F.min_by("_l", F.struct(-F.col("n"), "_l")).alias("_best")).withColumnRenamed("k", "_k")
+    return rows.join(best, rows[row] == best["_k"], "left").select(*(rows[c] for c in columns if c != prediction), F.col("_best").alias(prediction))
+
+
+@operator("knn-classifier-model", "knn-classifier")
+def knn(inputs, features=None, label=None, n_neighbors=5, prediction="prediction", key=None, metric="euclidean", **_):
+    """The most frequent label among the exact nearest training rows, ties to the smaller label. Rows of ``test input data`` are
+    labelled if there are any, else each training row by the other ones. ``model`` labels further rows."""
+    df, found, k = inputs.get(IN, inputs.get("train input data")), names(need(features, "features")), int(n_neighbors)
+    model = NearestRows(df, found, need(label, "label"), k, metric, prediction)
+    if inputs.get("test input data") is not None:
+        return {OUT: model.transform(inputs["test input data"]), "model": model}
+    (row,) = free_name(df, "_row")
+    rows = df.withColumn(row, F.col(key).cast("long")) if key else numbered(df, row)
+    near = nearest(rows.filter(F.col(label).isNotNull()), found, k, row, metric=metric)
+    labels = rows.select(F.col(row).alias("other"), F.col(label).alias("_l"))
+    return {OUT: _voted(rows, row, near, labels, prediction, df.columns), "model": model}
 
 
 @operator("voting-classifier")

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.durable import free_name, running, stored
+from tessera.operators.durable import free_name, numbered, running, stored
+from tessera.operators.neighbours import nearest
 from tessera.operators.registry import IN, OUT, names, need, operator
 
 
@@ -55,43 +56,6 @@ def kaplan_meier(inputs, duration_attribute=None, event_observed_attribute=None,
     return {OUT: rows.withColumn("survival", F.exp(F.sum(log).over(w.orderBy("time").rowsBetween(Window.unboundedPreceding, 0))))}
 
 
-@operator("cox-proportional-hazards")
-def cox(inputs, attributes=None, time_attribute=None, y_attribute=None, max_iter=20, tolerance=1e-8, **_):
-    """Coefficients by Newton steps on the partial likelihood (Breslow's form for ties). Each step is one aggregation to distinct
-    times; risk sets are running sums over them, latest first."""
-    x = names(need(attributes, "attributes"))
-    df, p = inputs[IN], len(x)
-    beta = np.zeros(p)
-    rows = stored(df.select(F.col(time_attribute).alias("t"), F.col(y_attribute).cast("int").alias("e"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x))), "survival")
-    done = False
-    for _i in range(int(max_iter)):
-        risk = F.exp(sum((F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta)), F.lit(0.0)))
-        sums = [F.sum(risk).alias("s0"), F.sum("e").alias("d")]
-        sums += [F.sum(risk * F.col(f"x{i}")).alias(f"s1_{i}") for i in range(p)] + [F.sum(F.col("e") * F.col(f"x{i}")).alias(f"u_{i}") for i in range(p)]
-        sums += [F.sum(risk * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s2_{i}_{j}") for i in range(p) for j in range(i, p)]
-        cols = ["s0", *(f"s1_{i}" for i in range(p)), *(f"s2_{i}_{j}" for i in range(p) for j in range(i, p))]
-        byt = rows.groupBy("t").agg(*sums)
-        summed = running(byt, {f"r_{c}": F.col(c) for c in cols}, [F.desc("t")])
-        at = summed.select("d", *(f"u_{i}" for i in range(p)), *(F.col(f"r_{c}").alias(c) for c in cols)).filter("d > 0")
-        mean = lambda i: F.col(f"s1_{i}") / F.col("s0")
-        grad = [F.sum(F.col(f"u_{i}") - F.col("d") * mean(i)) for i in range(p)]
-        info = [F.sum(F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean(i) * mean(j))) for i in range(p) for j in range(i, p)]
-        row = at.agg(*(c.alias(f"c{k}") for k, c in enumerate([*grad, *info]))).first()
-        g, h, k = np.array([row[i] or 0.0 for i in range(p)]), np.zeros((p, p)), p
-        for i in range(p):
-            for j in range(i, p):
-                h[i, j] = h[j, i] = row[k] or 0.0
-                k += 1
-        step = np.linalg.solve(h + 1e-12 * np.eye(p), g)
-        beta = beta + step
-        if np.abs(step).max() < float(tolerance):
-            done = True
-            break
-    errors = np.sqrt(np.diag(np.linalg.inv(h + 1e-12 * np.eye(p))))
-    made = [(c, float(b), float(math.exp(b)), float(s), float(b / s) if s else None) for c, b, s in zip(x, beta, errors, strict=True)]
-    return {OUT: df.sparkSession.createDataFrame(made, "covariate string, coefficient double, hazard_ratio double, standard_error double, z double"), "converged": done}
-
-
 @operator("fairness-evaluator")
 def fairness(inputs, attributes=None, label=None, score=None, baseline=None, tau=0.8, **_):
     """Confusion counts and rates per group of a sensitive attribute, each rate's ratio to the baseline group's, and whether it is
@@ -111,44 +75,19 @@ def fairness(inputs, attributes=None, label=None, score=None, baseline=None, tau
     return {OUT: j.withColumns({f"{r}_fair": F.col(f"{r}_disparity").between(float(tau), 1 / float(tau)) for r in rates}).drop(*(f"_{r}" for r in rates))}
 
 
-def neighbours(df, features: list[str], k: int, key: str, block: int = 4096):
-    """The k nearest other rows of each row by Euclid's distance: key, other, dist. All pairs are compared, but in blocks: each
-    row meets a block of rows as arrays in one task, and only its k best of each block go on."""
-    import pyarrow as pa
-
-    n = df.count()
-    blocks = max(1, math.ceil(n / block))
-    rows = df.select(F.col(key).cast("long").alias("k"), F.array(*(F.col(f).cast("double") for f in features)).alias("x")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    asks = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("b", "o", "k", "x", F.lit(True).alias("ask"))
-    has = rows.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("a").alias("b"), F.col("b").alias("o"), "k", "x", F.lit(False).alias("ask"))
-
-    def best(table: pa.Table) -> pa.Table:
-        ask = np.array(table["ask"].to_pylist(), bool)
-        keys = table["k"].to_numpy()
-        x = np.array(table["x"].to_pylist(), np.float64).reshape(len(keys), -1)
-        a, b, kb = x[ask], x[~ask], keys[~ask]
-        out = []
-        for at in range(0, len(a), 512):
-            part, own = a[at : at + 512], keys[ask][at : at + 512]
-            d = np.sqrt(((part[:, None, :] - b[None]) ** 2).sum(axis=2)) if len(b) else np.empty((len(part), 0))
-            d[own[:, None] == kb[None]] = np.inf
-            for i in range(len(part)):
-                near = np.lexsort((kb, d[i]))[:k]
-                out += [(int(own[i]), int(kb[j]), float(d[i, j])) for j in near if np.isfinite(d[i, j])]
-        return pa.table({"k": pa.array([o[0] for o in out], pa.int64()), "other": pa.array([o[1] for o in out], pa.int64()), "dist": pa.array([o[2] for o in out], pa.float64())})
-
-    found = asks.unionByName(has).groupBy("b", "o").applyInArrow(best, "k long, other long, dist double")
-    w = Window.partitionBy("k").orderBy("dist", "other")
-    return found.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
-
-
 @operator("outlier-detection", "local-outlier-factor")
-def local_outlier_factor(inputs, features=None, min_points=5, n_neighbors=None, alias="lof", key=None, **_):
-    """Local outlier factor of each row (1 and less: as dense as around). ``key`` must be unique."""
+def local_outlier_factor(inputs, features=None, min_points=5, n_neighbors=None, alias="lof", key=None, metric="euclidean", **_):
+    """Local outlier factor of each row (1 and less: as dense as around), from its exact neighbours. ``key`` must be unique; without
+    it rows are numbered. Rows with a null or a feature that is not finite get null."""
     df, k = inputs[IN], int(n_neighbors or min_points)
-    near = stored(neighbours(df, names(need(features, "features")), k, need(key, "key")), "neighbours")
+    (row,) = free_name(df, "_row")
+    rows = df.withColumn(row, F.col(key).cast("long")) if key else numbered(df, row)
+    near = stored(nearest(rows, names(need(features, "features")), k, row, metric=metric), "neighbours")
     reach = near.groupBy("k").agg(F.max("dist").alias("kd"))
     j = near.join(reach.toDF("other", "okd"), "other").withColumn("rd", F.greatest("dist", "okd"))
     density = j.groupBy("k").agg((1 / F.greatest(F.avg("rd"), F.lit(1e-12))).alias("lrd"))
-    lof = near.join(density.toDF("other", "olrd"), "other").groupBy("k").agg(F.avg("olrd").alias("o")).join(density, "k").select("k", (F.col("o") / F.col("lrd")).alias(alias))
-    return {OUT: df.join(lof, df[key].cast("long") == lof["k"], "left").drop("k")}
+    density = stored(density, "densities")
+    around = near.join(density.toDF("other", "olrd"), "other").groupBy("k").agg(F.avg("olrd").alias("o"))
+    lof = around.join(density, "k").select(F.col("k").alias("_k"), (F.col("o") / F.col("lrd")).alias("_lof"))
+    columns = [rows[c] for c in df.columns if c != alias]
+    return {OUT: rows.join(lof, rows[row] == lof["_k"], "left").select(*columns, F.col("_lof").alias(alias))}

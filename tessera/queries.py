@@ -15,6 +15,8 @@ def query(sql: str | None = None):
     """Register a query under its function's name."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"a query named {f.__name__} is there already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE[f.__name__] = sql
@@ -373,4 +375,4 @@ def notebook_cells(spark, sf_dir):
     return book.sql("SELECT o_orderpriority, count(*) AS n FROM large_orders GROUP BY o_orderpriority")
 
 
-from tessera import queries_functions, queries_operators  # noqa: E402, F401
+from tessera import queries_functions, queries_learning, queries_operators  # noqa: E402, F401

@@ -308,6 +308,6 @@ by_slug("chart_line", _O, "line-chart", "SELECT floor(o_totalprice / 50000) * 50
 by_slug("chart_scatter", _P, "scatter-plot", "SELECT p_size, p_retailprice FROM part", x=["p_size"], y=["p_retailprice"])
 by_slug("chart_area", _P, "area-chart", "SELECT p_size, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1", x=["p_size"], y=[{"attribute": "p_retailprice", "aggregation": "MIN", "alias": "lo"}, {"attribute": "p_retailprice", "aggregation": "MAX", "alias": "hi"}])
 by_slug("table_view", _P, "table-visualization", "SELECT p_partkey, p_name FROM part", attributes=["p_partkey", "p_name"], limit=10_000_000)
-by_slug("frequency_table", _P, "frequency-table", "SELECT p_brand AS value, count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", attributes=["p_brand"], top=10)
-by_slug("quantile_table", _P, "quantile-table", "SELECT 'p_size' AS attribute, unnest([0.25, 0.5, 0.75]) AS quantile, unnest([quantile_cont(p_size, 0.25), quantile_cont(p_size, 0.5), quantile_cont(p_size, 0.75)]) AS value FROM part", attributes=["p_size"], quantiles=(0.25, 0.5, 0.75))
+by_slug("frequency_table_brands", _P, "frequency-table", "SELECT p_brand AS value, count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", attributes=["p_brand"], top=10)
+by_slug("quantile_table_sizes", _P, "quantile-table", "SELECT 'p_size' AS attribute, unnest([0.25, 0.5, 0.75]) AS quantile, unnest([quantile_cont(p_size, 0.25), quantile_cont(p_size, 0.5), quantile_cont(p_size, 0.75)]) AS value FROM part", attributes=["p_size"], quantiles=(0.25, 0.5, 0.75))
 by_slug("chart_filled", _P, "bar-chart", "WITH a AS (SELECT DISTINCT p_brand FROM part), b AS (SELECT DISTINCT p_size FROM part) SELECT a.p_brand, b.p_size, count(p_partkey) AS n, coalesce(sum(p_retailprice), 0) AS total FROM a CROSS JOIN b LEFT JOIN part c ON c.p_brand = a.p_brand AND c.p_size = b.p_size GROUP BY ALL", ["p_brand", "p_size", "n", "total"], x=["p_brand", {"attribute": "p_size", "sorting": "NATURAL"}], y=[{"attribute": "*", "aggregation": "COUNT", "alias": "n"}, {"attribute": "p_retailprice", "aggregation": "SUM", "alias": "total"}], fill_missing=True)
