@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.durable import running
-from tessera.operators.registry import IN, OUT, ParameterError, names, need, operator
+from tessera.operators.registry import IN, OUT, ParameterError, flag, names, need, operator
 from tessera.operators.relational import aggregate_column
 
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -212,15 +214,31 @@ def word_cloud(inputs, attributes=None, top=100, **_):
     return {OUT: word_counting(inputs, attributes)[OUT].orderBy(F.desc("count"), "word").limit(int(top))}
 
 
+def outlying(df, attributes: list[str], most: int):
+    """(attribute, value): up to ``most`` distinct values of each column beyond its fences, the smallest ones."""
+    fences = box_plot({IN: df}, attributes)[OUT].select("attribute", "lower_fence", "upper_fence")  # one row a column
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a).cast("double").alias("value")) for a in attributes))).alias("r")).select("r.*")
+    beyond = long.join(F.broadcast(fences), "attribute").filter(~F.col("value").between(F.col("lower_fence"), F.col("upper_fence")) & ~F.isnan("value"))
+    parts = [beyond.filter(F.col("attribute") == a).select("attribute", "value").distinct().orderBy("value").limit(most) for a in attributes]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @operator("attribute-analysis")
-def attribute_analysis(inputs, attributes=None, **_):
-    """Statistics, histograms, box plots, frequent values and Spearman correlation of a table."""
+def attribute_analysis(inputs, attributes=None, cluster=False, threshold=0.8, similarity=None, outliers=10, **_):
+    """Statistics, histograms, box plots, outliers (up to so many distinct values beyond a column's fences, smallest first), frequent values
+    and Spearman correlation of a table; with ``cluster`` the clusters of like strings of each text column instead."""
     df = inputs[IN]
     cols, numbers = names(attributes) or df.columns, numeric(df, attributes)
+    if flag(cluster):
+        from tessera.operators.strings import string_clusters
+
+        texts = [c for c in cols if dict(df.dtypes)[c] == "string"]
+        return {"clusters": {c: string_clusters(df, c, float(threshold if similarity is None else similarity)) for c in texts}}
     return {
         OUT: summary_statistics(inputs, cols)[OUT],
         "histogram": histogram(inputs, numbers, 40)[OUT] if numbers else None,
         "box plot": box_plot(inputs, numbers)[OUT] if numbers else None,
+        "outliers": outlying(df, numbers, int(outliers)) if numbers else None,
         "frequency": {c: frequency_table(inputs, c)[OUT] for c in cols},
         "correlation": correlation(inputs, numbers, "spearman")[OUT] if len(numbers) > 1 else None,
     }

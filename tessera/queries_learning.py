@@ -47,3 +47,35 @@ def linked_balances(spark, sf_dir):
     """Single-linkage clusters of balances: on a line, they end where the next balance is as far away as the threshold."""
     df = table(spark, sf_dir, "customer")
     return op(df, "agglomerative-clustering", attributes=["c_acctbal"], linkage="single", distance_threshold=12.345, alias="cluster", key="c_custkey").select("c_custkey", "cluster")
+
+
+# --- attribute analysis
+
+
+def _string_clusters_sql(table: str, column: str) -> str:
+    return f"""
+        WITH RECURSIVE v AS MATERIALIZED (SELECT {column} AS value, count(*) AS count, list_distinct([{column}[i : i + 2] for i in range(1, greatest(length({column}) - 1, 2))]) AS g FROM {table} WHERE {column} IS NOT NULL GROUP BY ALL),
+        p AS (SELECT a.value AS a, b.value AS b, len(list_intersect(a.g, b.g)) AS common, len(a.g) + len(b.g) AS sizes FROM v a JOIN v b ON a.value <> b.value),
+        l AS MATERIALIZED (SELECT a, b FROM p WHERE common >= 0.8 * (sizes - common) - 1e-12),
+        r(a, b) AS (SELECT value, value FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS value, min(b) AS first FROM r GROUP BY a QUALIFY count(*) OVER (PARTITION BY min(b)) > 1)
+        SELECT dense_rank() OVER (ORDER BY first) - 1 AS cluster, value, count FROM c JOIN v USING (value)
+    """
+
+
+@query(_string_clusters_sql("customer", "c_name"))
+def like_names(spark, sf_dir):
+    return op(table(spark, sf_dir, "customer"), "string-clusters", attributes=["c_name"])
+
+
+@query(_string_clusters_sql("pages", "url"))
+def like_addresses(spark, sf_dir):
+    return run("attribute-analysis", {IN: table(spark, sf_dir, "pages")}, attributes=["url"], cluster=True)["clusters"]["url"]
+
+
+@query("""
+    WITH q AS (SELECT quantile_cont(n_chars, 0.25) AS a, quantile_cont(n_chars, 0.75) AS b FROM documents)
+    SELECT 'n_chars' AS attribute, value FROM (SELECT DISTINCT n_chars::DOUBLE AS value FROM documents, q WHERE n_chars NOT BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)) ORDER BY value LIMIT 10
+""")
+def outlying_lengths(spark, sf_dir):
+    return run("attribute-analysis", {IN: table(spark, sf_dir, "documents")}, attributes=["n_chars"])["outliers"]
