@@ -295,27 +295,6 @@ def power_iteration(inputs, k=2, src="src", dst="dst", weight=None, max_iter=20,
     return {OUT: U.PowerIterationClustering(k=int(k), maxIter=int(max_iter), srcCol=src, dstCol=dst, weightCol=weight).assignClusters(inputs[IN])}
 
 
-@operator("k-modes-clustering-model", "k-modes")
-def k_modes(inputs, features=None, number_of_clusters=2, max_iterations=20, prediction="prediction", seed=0, **_):
-    """Clusters of categorical rows: each row goes to the mode it differs least from (ties: the first), modes are the most frequent
-    values of each cluster, until they stay."""
-    df, f, k = inputs[IN], names(need(features, "features")), int(number_of_clusters)
-    rows = df.select(*(F.col(c).cast("string").alias(c) for c in f))
-    modes = [tuple(r) for r in rows.distinct().orderBy(F.xxhash64(*f, F.lit(int(seed)))).limit(k).collect()]
-
-    def assigned():
-        costs = F.array(*(sum((F.when(F.col(c).cast("string").eqNullSafe(F.lit(v)), 0).otherwise(1) for c, v in zip(f, m, strict=True)), F.lit(0)) for m in modes))
-        return (F.array_position(costs, F.array_min(costs)) - 1).cast("int")
-
-    for _i in range(int(max_iterations)):
-        new = [tuple(r[c] for c in f) for r in rows.withColumn("_k", assigned()).groupBy("_k").agg(*(F.mode(c, True).alias(c) for c in f)).orderBy("_k").collect()]
-        if new == modes:
-            break
-        modes = new
-    centres = df.sparkSession.createDataFrame([(i, *m) for i, m in enumerate(modes)], "cluster int, " + ", ".join(f"`{c}` string" for c in f))
-    return {OUT: df.withColumn(prediction, assigned()), "cluster centroids": centres, "model": modes}
-
-
 class NearestRows:
     """Training rows as a model: ``transform`` gives each row the most frequent label of its nearest training rows."""
 
