@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators import quantiles
 from tessera.operators.durable import running
+from tessera.operators.quantiles import grouped_percentiles as quantiles_of
 from tessera.operators.registry import IN, OUT, ParameterError, flag, names, need, operator
 from tessera.operators.relational import aggregate_column
 
@@ -54,8 +56,7 @@ def correlation(inputs, attributes=None, method="pearson", **_):
     return {OUT: row.select(F.explode("p").alias("p")).select("p.*")}
 
 
-def quartiles(c):
-    return F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+QUARTILES = [0.25, 0.5, 0.75]
 
 
 @operator("box-plot")
@@ -64,9 +65,13 @@ def box_plot(inputs, fact_attributes=None, attributes=None, group=None, exact=Tr
     outliers."""
     df, by = inputs[IN], names(group)
     parts = []
+    most = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
     for a in names(need(fact_attributes or attributes, "attributes")):
-        q = quartiles(F.col(a)) if exact else F.percentile_approx(a, [0.25, 0.5, 0.75])
-        s = df.groupBy(*by).agg(q.alias("q"), F.min(a).cast("double").alias("min"), F.max(a).cast("double").alias("max"), F.avg(a).alias("mean"))
+        q = F.percentile(F.col(a), F.array(*map(F.lit, QUARTILES))) if exact else F.percentile_approx(a, QUARTILES)
+        few = not exact or most <= quantiles.FEW
+        s = df.groupBy(*by).agg((q if few else F.lit(None)).alias("q"), F.min(a).cast("double").alias("min"), F.max(a).cast("double").alias("max"), F.avg(a).alias("mean"))
+        if not few:
+            s = quantiles.joined(s.drop("q"), quantiles.percentiles(df, by, F.col(a), QUARTILES), by)
         s = s.select(*by, F.lit(a).alias("attribute"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean", "min", "max")
         s = s.withColumns({"lower_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "upper_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
         on = [df[g].eqNullSafe(s[g]) for g in by]
@@ -104,13 +109,9 @@ def histogram(inputs, attributes=None, bins=20, **_):
 def quantile_table(inputs, attributes=None, quantiles=(0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99), **_):
     """Exact quantiles by column."""
     cols, qs = names(attributes) or numeric(inputs[IN]), [float(q) for q in quantiles]
-    row = inputs[IN].agg(*(F.percentile(c, F.array(*map(F.lit, qs))).alias(c) for c in cols))
-    return {OUT: _unpivot_quantiles(row, cols, qs)}
-
-
-def _unpivot_quantiles(row, cols, qs):
-    cells = F.array(*(F.struct(F.lit(c).alias("attribute"), F.lit(q).alias("quantile"), F.col(c)[i].alias("value")) for c in cols for i, q in enumerate(qs)))
-    return row.select(F.explode(cells).alias("p")).select("p.*")
+    found = quantiles_of(inputs[IN], cols, qs)
+    made = [(c, q, v) for c in cols for q, v in zip(qs, found[c] or [None] * len(qs), strict=True)]
+    return {OUT: inputs[IN].sparkSession.createDataFrame(made, "attribute string, quantile double, value double")}
 
 
 @operator("frequency-table")
@@ -136,7 +137,7 @@ def binned(df, x: dict):
         return df, lo + F.least(F.floor((c - lo) / width), F.lit(n - 1)) * width
     if kind == "QUANTILES":
         n = int(x["bins"])
-        edges = sorted(set(df.select(c.alias("x")).agg(F.percentile("x", F.array(*(F.lit(i / n) for i in range(n + 1))))).first()[0] or []))
+        edges = sorted(set(quantiles_of(df.select(c.alias("x")), ["x"], [i / n for i in range(n + 1)])["x"] or []))
         out = F.lit(edges[0] if edges else None)
         for e in edges[1:-1]:
             out = F.when(c >= e, F.lit(e)).otherwise(out)

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.expressions import Compiler, spark_type, window_spec
 from tessera.operators.durable import free_name, numbered, stored
+from tessera.operators.quantiles import grouped_percentiles
 from tessera.operators.registry import IN, IN1, IN2, OUT, ParameterError, flag, names, need, operator
 
 
@@ -218,8 +219,11 @@ def clean_missing(inputs, attributes=None, cleaning_mode="REMOVE_ROW", value=Non
             fill = {a: value for a in found}
         else:
             # ties of the mode go to the smallest value
-            modes = {"MEAN": F.avg, "MEDIAN": F.median, "MODE": lambda a: F.mode(a, True)}
-            row = df.agg(*(modes[cleaning_mode](F.col(a)).alias(a) for a in found)).first()
+            if cleaning_mode == "MEDIAN":
+                row = {a: q and q[0] for a, q in grouped_percentiles(df, found, [0.5]).items()}
+            else:
+                modes = {"MEAN": F.avg, "MODE": lambda a: F.mode(a, True)}
+                row = df.agg(*(modes[cleaning_mode](F.col(a)).alias(a) for a in found)).first()
             fill = {a: row[a] for a in found if row[a] is not None}
         df = df.withColumns({a: F.coalesce(F.col(a), F.lit(v).cast(df.schema[a].dataType if cleaning_mode in ("VALUE", "MODE") else "double")) for a, v in fill.items()})
     return {OUT: df, "output result": df}
