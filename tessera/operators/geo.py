@@ -142,9 +142,14 @@ def dbscan(inputs, features=None, eps=0.5, min_samples=5, key=None, prediction="
 
 
 @operator("entity-matching")
-def entity_matching(inputs, left_latitude="lat", left_longitude="lon", right_latitude="lat", right_longitude="lon", distance=100.0, left_key="id", right_key="id", **_):
-    """Rows of two tables whose places are within a distance in metres, by a grid join; matching along routes is not
-    offered."""
+def entity_matching(inputs, algorithm=None, left_latitude="lat", left_longitude="lon", right_latitude="lat", right_longitude="lon", distance=100.0, left_key="id", right_key="id", left_order=None, right_order=None, **rest):
+    """Rows of two tables whose places are within a distance in metres, by a grid join; with an ``algorithm`` or with orders, the routes
+    (first table) that trajectories (second table) follow."""
+    if algorithm or left_order or right_order:
+        from tessera.operators.routes import route_matching
+
+        given = {"left_order": left_order, "right_order": right_order} if left_order and right_order else {}
+        return route_matching(inputs, left_key=left_key, right_key=right_key, left_latitude=left_latitude, left_longitude=left_longitude, right_latitude=right_latitude, right_longitude=right_longitude, distance=distance, **given, **rest)
     a, b = inputs["input data 1"], inputs["input data 2"]
     per, eps = 111320.0, float(distance)
 

@@ -44,5 +44,5 @@ def flag(value) -> bool:
 
 
 def _load() -> None:
-    from tessera.operators import geo, linkage, mining, ml, modes, neural, privacy, profile, quality, relational, sgd, stats, strings, survival, text  # noqa: F401
+    from tessera.operators import geo, linkage, mining, ml, modes, neural, privacy, profile, quality, relational, routes, sgd, stats, strings, survival, text  # noqa: F401
     from tessera.sources import readers, writers  # noqa: F401
