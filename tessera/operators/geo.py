@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,24 +22,103 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
+#: Cells of a polygon's cover, at most but for its first ones; halvings of the whole extent from one level to the next, and in all.
+COVER, FINER, DEEPEST = 2048, 2, 26
+
+
+def _touches(edges: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(cells, edges): whether an edge (x1, y1, x2, y2) meets a cell, ends included."""
+    x1, y1, x2, y2 = (edges[:, i] for i in range(4))
+    box = (np.maximum(x1, x2) >= low[:, None, 0]) & (np.minimum(x1, x2) <= high[:, None, 0]) & (np.maximum(y1, y2) >= low[:, None, 1]) & (np.minimum(y1, y2) <= high[:, None, 1])
+    # the line through the edge has corners of the cell on both sides
+    sides = [(x2 - x1) * (cy[:, None] - y1) - (y2 - y1) * (cx[:, None] - x1) for cx in (low[:, 0], high[:, 0]) for cy in (low[:, 1], high[:, 1])]
+    return box & (np.minimum.reduce(sides) <= 0) & (np.maximum.reduce(sides) >= 0)
+
+
+def _holds(ring: np.ndarray, x: float, y: float) -> bool:
+    (x1, y1), (x2, y2) = ring.T, np.roll(ring, -1, axis=0).T
+    crossed = (y1 > y) != (y2 > y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return bool((crossed & (x < (x2 - x1) * (y - y1) / np.where(crossed, y2 - y1, 1.0) + x1)).sum() % 2)
+
+
+def cover(ring: np.ndarray, origin: np.ndarray, size: np.ndarray) -> list[tuple[int, int, int, bool]]:
+    """A polygon's cells (level, column, row, whole): quadtree cells that it fills, and those that its outline meets, ever finer
+    where the outline is until there would be more than ``COVER`` of them."""
+    edges = np.concatenate([ring, np.roll(ring, -1, axis=0)], axis=1)
+    extent = max(float(((ring.max(axis=0) - ring.min(axis=0)) / size).max()), 2.0**-DEEPEST)
+    level = max(0, min(DEEPEST, int(-math.log2(extent))) // FINER * FINER)
+    step = size / 2.0**level
+    first, last = (np.floor((f(axis=0) - origin) / step).astype(int) for f in (ring.min, ring.max))
+    open_ = [(cx, cy) for cx in range(first[0], last[0] + 1) for cy in range(first[1], last[1] + 1)]
+    done: list[tuple[int, int, int, bool]] = []
+    while True:
+        step = size / 2.0**level
+        at = np.array(open_, np.int64).reshape(-1, 2)
+        low = origin + at * step - 1e-9 * (step + np.abs(origin))
+        met = np.zeros(len(at), bool)
+        for k in range(0, len(at), 64):
+            met[k : k + 64] = _touches(edges, low[k : k + 64], low[k : k + 64] + step + 2e-9 * (step + np.abs(origin))).any(axis=1)
+        for (cx, cy), m in zip(open_, met, strict=True):
+            if not m and _holds(ring, *(origin + (np.array([cx, cy]) + 0.5) * step)):
+                done.append((level, cx, cy, True))
+        edge = [c for c, m in zip(open_, met, strict=True) if m]
+        finer = 1 << FINER
+        if level + FINER > DEEPEST or len(done) + len(edge) * finer * finer > COVER or not edge:
+            return done + [(level, cx, cy, False) for cx, cy in edge]
+        open_ = [(cx * finer + i, cy * finer + j) for cx, cy in edge for i in range(finer) for j in range(finer)]
+        level += FINER
+
+
+def _covers(origin: np.ndarray, size: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, ring in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ring = np.array([p[:2] for p in ring], np.float64)
+                out += [(i, *c) for c in cover(ring, origin, size)]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["_s", "_level", "_cx", "_cy", "_whole"])
+
+    return run
+
+
 @operator("within")
-def within(inputs, polygon="points", polygon_attributes=None, latitude="latitude", longitude="longitude", alias=None, key=None, cell=1.0, **_):
-    """Attributes of the first polygon (by order of its attributes) that holds each point, null where none does. Points and the
-    bounding boxes of polygons meet by the cells of a grid, so the join is on equal keys; the ray test decides."""
+def within(inputs, polygon="points", polygon_attributes=None, latitude="latitude", longitude="longitude", alias=None, key=None, **_):
+    """Attributes of the first polygon (by order of its attributes) that holds each point, null where none does.
+
+    Each polygon is covered by at most ``COVER`` quadtree cells, whatever its size, and points meet it by equal cells of the levels in use. In a
+    cell that the polygon fills there is nothing to test; in one that its outline meets, the ray test decides. Polygons are rings of
+    at least three [x, y] places; others, and points with a null place, are in nothing."""
     points, shapes = inputs[IN], inputs["geo data"]
     wanted = names(polygon_attributes)
-    step = float(cell)
-    s = shapes.select(F.col(polygon).alias("_ring"), *(F.col(a).alias(f"_a{i}") for i, a in enumerate(wanted)))
+    ring = F.transform(F.col(polygon), lambda p: F.transform(p, lambda v: v.cast("double")))
+    s = shapes.select(ring.alias("_ring"), *(F.col(a).alias(f"_a{i}") for i, a in enumerate(wanted)))
+    s = s.filter((F.size("_ring") >= 3) & ~F.exists("_ring", lambda p: p[0].isNull() | p[1].isNull() | F.isnan(p[0]) | F.isnan(p[1])))
+    s = numbered(s, "_s")
     bound = lambda f, i: f(F.transform("_ring", lambda p: p[i]))
-    cells = lambda i: F.sequence(F.floor(bound(F.array_min, i) / step), F.floor(bound(F.array_max, i) / step))
-    s = s.withColumn("_cx", F.explode(cells(0))).withColumn("_cy", F.explode(cells(1)))
-    # without a key rows get one, in a table of its own, so that it is the same wherever it is read
-    p = (stored(points.withColumn("_id", F.monotonically_increasing_id()), "points") if key is None else points.withColumn("_id", F.col(key))).withColumns({"_cx": F.floor(F.col(longitude).cast("double") / step), "_cy": F.floor(F.col(latitude).cast("double") / step)})
-    j = p.join(s, ["_cx", "_cy"]).filter(inside(F.col(longitude).cast("double"), F.col(latitude).cast("double"), F.col("_ring")))
-    best = j.groupBy("_id").agg(F.min(F.struct(*(f"_a{i}" for i in range(len(wanted))))).alias("_f"))
+    box = s.agg(F.min(bound(F.array_min, 0)), F.min(bound(F.array_min, 1)), F.max(bound(F.array_max, 0)), F.max(bound(F.array_max, 1))).first()
     new = [x.strip() for x in (alias.split(",") if isinstance(alias, str) else alias or [])] or wanted
+    p = stored(points.withColumn("_id", F.monotonically_increasing_id()), "points") if key is None else points.withColumn("_id", F.col(key))
+    if box[0] is None:
+        kinds = dict(shapes.dtypes)
+        return {OUT: p.withColumns({b: F.lit(None).cast(kinds[a]) for a, b in zip(wanted, new, strict=True)}).drop("_id")}
+    origin = np.array([box[0], box[1]])
+    size = np.maximum(np.array([box[2] - box[0], box[3] - box[1]]), 1e-9 * (1 + np.abs(origin))) * (1 + 1e-9)
+    cells = stored(s.select("_s", "_ring").mapInArrow(_covers(origin, size), "_s long, _level int, _cx long, _cy long, _whole boolean"), "cover")
+    levels = sorted(r[0] for r in cells.select("_level").distinct().collect())  # at most DEEPEST / FINER + 1
+    x, y = F.col(longitude).cast("double"), F.col(latitude).cast("double")
+    at = lambda v, i, level: F.floor((v - float(origin[i])) / float(size[i] / 2.0**level)).cast("long")
+    places = F.array(*(F.struct(F.lit(v).alias("_level"), at(x, 0, v).alias("_cx"), at(y, 1, v).alias("_cy")) for v in levels))
+    here = x.between(box[0], box[2]) & y.between(box[1], box[3])
+    asked = p.filter(here).select("_id", x.alias("_x"), y.alias("_y"), F.explode(places).alias("c")).select("_id", "_x", "_y", "c.*")
+    j = asked.join(cells, ["_level", "_cx", "_cy"]).select("_id", "_x", "_y", "_s", "_whole")
+    sure = j.filter("_whole").select("_id", "_s")
+    tested = j.filter("NOT _whole").join(s.select("_s", "_ring"), "_s").filter(inside(F.col("_x"), F.col("_y"), F.col("_ring"))).select("_id", "_s")
+    first = F.min(F.struct(*(f"_a{i}" for i in range(len(wanted))))).alias("_f")
+    best = sure.unionByName(tested).join(s.drop("_ring"), "_s").groupBy("_id").agg(first)
     out = p.join(best, "_id", "left").withColumns({b: F.col("_f")[f"_a{i}"] for i, b in enumerate(new)})
-    return {OUT: out.drop("_id", "_cx", "_cy", "_f")}
+    return {OUT: out.drop("_id", "_f")}
 
 
 _RADIUS = 6378137.0

@@ -79,3 +79,31 @@ def like_addresses(spark, sf_dir):
 """)
 def outlying_lengths(spark, sf_dir):
     return run("attribute-analysis", {IN: table(spark, sf_dir, "documents")}, attributes=["n_chars"])["outliers"]
+
+
+# --- places: customers' balances and nations as a plane
+
+
+_RINGS = {"low": [[-0.5, -1000.0], [10.5, -1000.0], [10.5, 2500.0], [-0.5, 2500.0]], "wedge": [[5.5, 0.5], [24.5, 4000.5], [24.5, 9000.5], [15.5, 9000.5]], "top": [[0.5, 8000.5], [12.5, 8000.5], [6.5, 10001.5]]}
+
+
+def _within_sql() -> str:
+    """Even-odd ray test of every customer against every ring."""
+    edges = []
+    for name, ring in _RINGS.items():
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+            edges.append(f"('{name}', {ax}::DOUBLE, {ay}::DOUBLE, {bx}::DOUBLE, {by}::DOUBLE)")
+    return f"""
+        WITH e(name, x1, y1, x2, y2) AS (VALUES {", ".join(edges)}),
+        h AS (SELECT c_custkey, name FROM customer, e WHERE (y1 > c_acctbal) <> (y2 > c_acctbal) AND c_nationkey < (x2 - x1) * (c_acctbal - y1) / CASE WHEN y2 <> y1 THEN y2 - y1 ELSE 1 END + x1
+            GROUP BY ALL HAVING count(*) % 2 = 1)
+        SELECT c_custkey, min(name) AS name FROM customer LEFT JOIN h USING (c_custkey) GROUP BY c_custkey
+    """
+
+
+@query(_within_sql())
+def customers_in_areas(spark, sf_dir):
+    shapes = spark.createDataFrame(list(_RINGS.items()), "name string, points array<array<double>>")
+    df = table(spark, sf_dir, "customer")
+    out = run("within", {IN: df, "geo data": shapes}, polygon_attributes=["name"], latitude="c_acctbal", longitude="c_nationkey", key="c_custkey")[OUT]
+    return out.select("c_custkey", "name")
