@@ -9,7 +9,9 @@ from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, StopWordsRemover
 from pyspark.sql import functions as F
 
 from tessera.functions.expressions import strip_accents
+from tessera.operators.durable import free_name, numbered
 from tessera.operators.registry import IN, OUT, ParameterError, flag, names, need, operator
+from tessera.operators.tagging import tag_or_look_up
 
 
 def _each(inputs, attributes, alias, f):
@@ -202,20 +204,25 @@ def word_segmentation(inputs, attributes=None, alias=None, vocabulary=None, **_)
 
 
 def _dictionary(slug: str):
-    @operator(slug)
     def look_up(inputs, attributes=None, alias=None, **_):
-        """Words of an array looked up in a table (word, value), the second input; a join, as tables may be large."""
+        """Words of an array looked up in a table (word, value), the second input; a join, as tables may be large. Values line up with
+        words: a word without an entry and a null word have null; of several entries the least counts."""
         df, table = inputs[IN], inputs.get("dictionary")
         if table is None:
             raise ParameterError(f"{slug} needs an input 'dictionary' of words and values")
         a = names(need(attributes, "attributes"))[0]
-        words = df.withColumn("_id", F.monotonically_increasing_id())
-        pairs = words.select("_id", F.posexplode(a).alias("_pos", "word")).join(table.toDF("word", "_value"), "word")
-        found = pairs.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "word", "_value"))).alias("_f"))
-        return {OUT: words.join(found, "_id", "left").withColumn(alias or f"{a}_{slug}", F.transform("_f", lambda x: x["_value"])).drop("_id", "_f")}
+        row, place, word, value, found = free_name(df, "_id", "_pos", "_word", "_value", "_found")
+        rows = numbered(df, row)  # a table of its own: rows keep their numbers
+        entries = table.toDF(word, value).filter(F.col(word).isNotNull()).groupBy(word).agg(F.min(value).alias(value))
+        pairs = rows.select(row, F.posexplode(a).alias(place, word)).join(entries, word, "left")
+        told = pairs.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct(place, value))), lambda x: x[value]).alias(found))
+        out = rows.join(told, row, "left").withColumn(found, F.when(F.size(a) == 0, F.array().cast(told.schema[found].dataType)).otherwise(F.col(found)))
+        return {OUT: out.withColumn(alias or f"{a}_{slug}", F.col(found)).drop(row, found)}
 
     return look_up
 
 
-for _slug in ("synonyms", "antonyms", "definer", "lemmatization", "postagging", "ner"):
-    _dictionary(_slug)
+for _slug in ("synonyms", "antonyms", "definer", "lemmatization"):
+    operator(_slug)(_dictionary(_slug))
+for _slug in ("postagging", "ner"):
+    tag_or_look_up(_slug, _dictionary(_slug))
