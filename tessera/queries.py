@@ -242,18 +242,14 @@ def fn_group_datetime(spark, sf_dir):
 @query("SELECT time_bucket(INTERVAL 3600 SECOND, ts) AS start, time_bucket(INTERVAL 3600 SECOND, ts) + INTERVAL 3600 SECOND AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf_dir):
     """The same windows over a stream of the table's files, run to its end into a table that is read back."""
-    from tessera.streaming.streams import read_stream, windowed_counts, write_stream
+    from tessera.operators.durable import scratch
+    from tessera.streaming.streams import read_stream, to_table, windowed_counts
 
     path = f"{sf_dir}/events.parque[t]"  # a pattern, as a stream's path must not be one file
     schema = spark.read.parquet(path).schema
     stream = read_stream(spark, "parquet", path, schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    import uuid
-
-    name = f"windows_{uuid.uuid4().hex}"
-    counts = windowed_counts(stream, "ts", 3600, ["event_type"], value="value")
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-streams"
-    write_stream(counts, "memory", name, f"{root}/{name}", "complete").awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", F.round("total", 4).alias("total"))
+    counts = to_table(windowed_counts(stream, "ts", 3600, ["event_type"], value="value"), scratch(spark, "windows"), scratch(spark, "stream"))
+    return counts.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT unnest(['l_quantity', 'l_tax', 'l_returnflag']) AS attribute, unnest([max(l_quantity)::VARCHAR, max(l_tax)::VARCHAR, max(l_returnflag)]) AS max, count(*) AS count, unnest([round(stddev(l_quantity), 4), round(stddev(l_tax), 4), NULL]) AS stddev, unnest([round(avg(l_quantity), 4), round(avg(l_tax), 4), NULL]) AS avg, 0 AS missing FROM lineitem")

@@ -107,3 +107,18 @@ def customers_in_areas(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
     out = run("within", {IN: df, "geo data": shapes}, polygon_attributes=["name"], latitude="c_acctbal", longitude="c_nationkey", key="c_custkey")[OUT]
     return out.select("c_custkey", "name")
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, ts, list_position(['view', 'click', 'signup', 'purchase'], event_type) - 1 AS place, row_number() OVER (PARTITION BY user_id ORDER BY ts, list_position(['view', 'click', 'signup', 'purchase'], event_type)) AS n
+        FROM events WHERE event_type <> 'error'),
+    w(user_id, n, reached, since) AS (SELECT DISTINCT user_id, 0::BIGINT, 0::BIGINT, NULL::TIMESTAMP FROM e
+        UNION ALL SELECT w.user_id, e.n, CASE WHEN place = reached THEN reached + 1 ELSE reached END, CASE WHEN place = reached THEN ts ELSE since END FROM w JOIN e ON w.user_id = e.user_id AND e.n = w.n + 1)
+    SELECT user_id, max(reached) AS reached, max(since) AS since FROM w GROUP BY user_id HAVING max(reached) > 0
+""")
+def paths_of_users(spark, sf_dir):
+    """How far each user came from a view to a purchase."""
+    from tessera.streaming.streams import paths
+
+    out = paths(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", ["view", "click", "signup", "purchase"])
+    return out.select("user_id", "reached", F.col("since").cast("timestamp_ntz").alias("since"))
