@@ -12,6 +12,8 @@ once per task while the bounded cache lasts.
 
 Nulls: a null text is an empty text with no ids; a null doc_id keeps its row; repeated rows are encoded each; an empty table
 gives no rows. Unpaired surrogates cannot occur in Spark strings.
+Texts of any length are encoded whole, and so are pieces of any length. There are no ties: each prefix has one encoding. Further
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

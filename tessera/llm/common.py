@@ -28,10 +28,12 @@ _own_root: dict[str, str] = {}
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in bare local sessions, a temporary folder of the driver is used.
+    Only where that setting is absent in a local session a temporary folder of the driver is used; elsewhere it must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _own_root.setdefault("root", tempfile.mkdtemp(prefix="tessera-"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

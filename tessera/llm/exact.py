@@ -6,6 +6,8 @@ equal texts next to each other, and each text is compared in full with its neigh
 bytes and, against prefixes that many texts share, eight bytes of their digest; so what the sampling sends to the driver
 has a fixed size per row, and no prefix makes a hot partition.
 
+Texts of any length are compared whole. Ties of code points go to the smallest doc_id.
+
 Nulls: a null text is an empty text. A null doc_id sorts after every other. Empty table: no rows. Rows that repeat both
 text and doc_id count in ``group_size`` one by one; the report marks all repeats of the row that stays as kept, and
 ``deduplicate`` keeps one of them. Other columns are not touched, whatever their names.

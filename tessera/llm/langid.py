@@ -12,7 +12,7 @@ is in no profile's n-gram and has one code with its like. So n-grams are integer
 Nulls: a text that is null or without a letter is ``und`` with score 0. Rows with a null language or text teach nothing. A
 null doc_id is never held out by the query and keeps its row. Repeated rows count as often as they occur. With nothing to
 learn from, every text is ``und``. Ties of distance go to the language that is first by code point, ties of frequency to the
-shorter n-gram and then by code points. Very long texts are read whole. Further columns of the input play no part, whatever
+shorter n-gram and then by code points. Very long texts are read whole. Empty table: no rows. Further columns of the input play no part, whatever
 their names.
 """
 

@@ -14,6 +14,8 @@ whatever the partitioning. Rows that repeat both are interchangeable.
 
 Nulls: a null text has size 0; documents without a source are a source of their own, last in order; a null doc_id is an id
 like another. A source of size 0 has target 0. Empty table: no rows.
+Sizes of texts of any length are counted whole. Ties of the order by which a chunk is flown go by the hash. Further columns, whatever
+their names, are carried along by ``mixed`` and play no part.
 """
 
 from __future__ import annotations

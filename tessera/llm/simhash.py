@@ -18,7 +18,9 @@ task returns a spanning forest of the links it found, never the pairs. A bucket
 into chunks whose pairs are separate tasks.
 
 Nulls: a null text is empty; a text without words has fingerprint zero and is linked like any other. A null doc_id keeps
-its row and counts as larger than every id. Rows that repeat stay separate rows. Empty table: no rows.
+its row and counts as larger than every id. Rows that repeat stay separate rows in groups; ``near_deduplicate`` keeps one of them. Empty table: no rows.
+Texts of any length are read whole. Ties: a bit set in exactly half of the hashes is 0; of rows of a group with the same doc_id the one
+with the smallest hash of its text stays. Further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

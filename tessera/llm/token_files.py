@@ -12,6 +12,8 @@ both Parquet, so that any store Spark can write to will do and failed tasks leav
 
 Nulls: a null text is empty and yields the end id alone; null doc_ids come first in order. Rows that repeat a doc_id stay
 separate documents, ordered by their ids. Empty table: files without blocks.
+Texts of any length are encoded whole; a block holds at least one document, however long. Ties of counts in the code go by
+id. Further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
