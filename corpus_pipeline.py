@@ -1,6 +1,9 @@
 """A corpus from raw documents: language, exact copies, near copies, source mix, token ids.
 
 Each stage is a function (spark, docs, sf_dir) that returns a DataFrame; all but the last return the columns of documents.
+
+For all stages: further columns, whatever their names, are carried along; texts of any length are read whole; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -20,28 +23,33 @@ SHINGLE, SIMILARITY, PRINT_WORDS, RADIUS = 5, 0.8, 4, 53
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in some language."""
+    """Documents whose text is in some learned language. A null or empty text, or one without letters, goes; a text too short to tell stays.
+    Repeated rows are judged alike, a null doc_id plays no part, and ties of distance go to the language first by code point."""
     return langid.keep_identified(docs, LEAST_LANGUAGE)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text without its white space: the longest, then the smallest doc_id, null last. Null texts are empty ones, of
+    which one stays; of repeated rows one stays."""
     return exact.deduplicate(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document (smallest id) of each group of near copies; rows go, so texts that share an id, or have none, count
-    one by one."""
+    one by one. Null ids come last, ties of ids go by a hash of the text, and of repeated rows one stays. Texts without words, null
+    ones among them, are near copies of one another only."""
     return simhash.near_deduplicate(docs, SIMILARITY, SHINGLE, PRINT_WORDS, RADIUS, simhash.sampled_tables())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources take them."""
+    """Documents as often as the target weights of their sources take them. A null source is one of its own, last in order; null texts have
+    no words and are taken as balance has it; repeated rows are interchangeable; ties go by a hash of doc_id and size."""
     return mixing.mixed(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, with digests of the ids and of the bytes they decode to."""
+    """Ids of each document, with digests of the ids and of the bytes they decode to. A null text has no ids; repeated rows and null ids
+    have rows of their own; an encoding has no ties."""
     return bpe.encode_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern(), with_ids=True)
 
 
