@@ -122,3 +122,81 @@ def paths_of_users(spark, sf_dir):
 
     out = paths(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", ["view", "click", "signup", "purchase"])
     return out.select("user_id", "reached", F.col("since").cast("timestamp_ntz").alias("since"))
+
+
+# --- files there and back: what is written and read again is the table
+
+
+def _there_and_back(df, kind: str, attributes: list[dict] | None = None, **how):
+    from tessera.operators.durable import scratch
+
+    path = scratch(df.sparkSession, f"there-and-back-{kind.lower()}")
+    run("save", {IN: df}, path=path, format=kind)
+    return run("data-reader", {}, spark=df.sparkSession, data_source={"url": path, "format": kind, "attributes": attributes, **how})[OUT]
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def documents_by_csv(spark, sf_dir):
+    """Texts with quotes, line ends and separators."""
+    kinds = [{"name": n, "type": t} for n, t in (("doc_id", "LONG"), ("text", "CHARACTER"), ("lang", "CHARACTER"), ("source", "CHARACTER"), ("n_chars", "LONG"))]
+    return _there_and_back(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), "CSV", kinds, is_first_line_header=True, is_multiline=True)
+
+
+@query("SELECT doc_id, text, source FROM documents")
+def documents_by_json(spark, sf_dir):
+    kinds = [{"name": n, "type": t} for n, t in (("doc_id", "LONG"), ("text", "CHARACTER"), ("source", "CHARACTER"))]
+    return _there_and_back(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "JSON", kinds)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, l_returnflag FROM lineitem")
+def lines_by_orc(spark, sf_dir):
+    return _there_and_back(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag"), "ORC")
+
+
+# --- models with a closed form, and verbs on texts that they change
+
+
+@query("""
+    WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag AS c, l_quantity AS a, l_linenumber::DOUBLE AS b FROM lineitem),
+    t AS (SELECT c, count(*) AS n, sum(a) AS a, sum(b) AS b FROM r GROUP BY c),
+    m AS (SELECT c, n, ln(n + 1.0) - ln((SELECT sum(n) FROM t) + (SELECT count(*) FROM t)) AS prior, ln(a + 1) - ln(a + b + 2) AS la, ln(b + 1) - ln(a + b + 2) AS lb FROM t)
+    SELECT prediction, count(*) AS n, sum(l_linenumber) AS lines FROM (SELECT l_linenumber, arg_max(m.c, prior + r.a * la + r.b * lb) AS prediction FROM r, m GROUP BY l_orderkey, l_linenumber, l_partkey, r.a, r.b, r.c) GROUP BY prediction
+""")
+def naive_bayes_flags(spark, sf_dir):
+    """Return flags that a multinomial naive Bayes model of quantity and line number predicts, against its counts by hand."""
+    df = table(spark, sf_dir, "lineitem").withColumn("line", F.col("l_linenumber").cast("double"))
+    made = run("naive-bayes-classifier-model", {IN: df}, features=["l_quantity", "line"], label="l_returnflag", smoothing=1.0)[OUT]
+    return made.groupBy("prediction").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
+@query("""
+    WITH g AS (SELECT l_returnflag AS g, count(*) AS group_size, count(*) FILTER (s AND y) AS tp, count(*) FILTER (s AND NOT y) AS fp, count(*) FILTER (NOT s AND y) AS fn, count(*) FILTER (NOT s AND NOT y) AS tn
+        FROM (SELECT l_returnflag, l_quantity > 25 AS y, l_extendedprice > 40000 AS s FROM lineitem) GROUP BY ALL)
+    SELECT g.g AS "group", g.tp, g.fp, g.fn, g.tn, round(g.fp / (g.fp + g.tn), 6) AS fpr, round((g.fp / (g.fp + g.tn)) / (b.fp / (b.fp + b.tn)), 6) AS fpr_disparity, (g.fp / (g.fp + g.tn)) / (b.fp / (b.fp + b.tn)) BETWEEN 0.8 AND 1.25 AS fpr_fair
+    FROM g, (SELECT * FROM g WHERE g = 'A') b
+""")
+def fairness_of_flags(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_quantity") > 25).cast("int").alias("y"), (F.col("l_extendedprice") > 40000).cast("int").alias("s"))
+    out = op(df, "fairness-evaluator", attributes=["l_returnflag"], label="y", score="s", baseline="A")
+    return out.select("group", "tp", "fp", "fn", "tn", F.round("fpr", 6).alias("fpr"), F.round("fpr_disparity", 6).alias("fpr_disparity"), "fpr_fair")
+
+
+@query("SELECT doc_id, md5(trim(concat('  ', text, '   '))) AS trimmed, md5(upper(replace(text, 'ß', 'ss'))) AS upper, md5(strip_accents(text)) AS plain FROM documents")
+def verbs_on_texts(spark, sf_dir):
+    """Trimming blanks, upper case and removing accents where there are some."""
+    df = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("  "), "text", F.lit("   ")).alias("trimmed"), F.replace("text", F.lit("ß"), F.lit("ss")).alias("upper"), F.col("text").alias("plain"))
+    df = op(df, "trim", attributes=["trimmed"])
+    df = op(df, "to-upper", attributes=["upper"])
+    df = op(df, "remove-accents", attributes=["plain"])
+    return df.select("doc_id", *(F.md5(c).alias(c) for c in ("trimmed", "upper", "plain")))
+
+
+@query("SELECT true AS disjoint, true AS whole, true AS fair")
+def split_is_a_partition(spark, sf_dir):
+    """Both parts of a split share no row, are the table together, and have their shares within five standard deviations."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey")
+    made = run("split", {IN: df}, weights=30, seed=5)
+    one, two = (made[p].withColumn("part", F.lit(i)) for i, p in enumerate(("splitted data 1", "splitted data 2")))
+    rows = one.unionByName(two).groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum(1 - F.col("part")).alias("first"))
+    told = rows.agg((F.max("n") == 1).alias("disjoint"), F.count("*").alias("n"), F.sum("first").alias("k")).crossJoin(F.broadcast(df.agg(F.count("*").alias("all"))))
+    return told.select("disjoint", (F.col("n") == F.col("all")).alias("whole"), (F.abs(F.col("k") - 0.3 * F.col("n")) < 5 * F.sqrt(F.col("n") * 0.21)).alias("fair"))

@@ -31,7 +31,9 @@ def save(inputs, path=None, name=None, format="PARQUET", mode="error", header=Tr
     if kind in ("TABLE", "HIVE", "HIVE_WAREHOUSE"):
         writer.saveAsTable(need(name, "name"))
     elif kind == "CSV":
-        writer.option("header", flag(header)).csv(need(path, "path"))
+        # as the reader takes it: quotes are doubled, and blanks around a text are part of it
+        given = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"} | (options or {})
+        writer.options(**given).option("header", flag(header)).csv(need(path, "path"))
     elif kind in ("PARQUET", "JSON", "ORC"):
         writer.format(kind.lower()).save(need(path, "path"))
     else:
