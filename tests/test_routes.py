@@ -65,7 +65,7 @@ def test_planted_trajectories(spark, measure):
     trips += [(101, 0.0, None, 1.0), (None, 1.0, -19.9, -43.9)]
     a = spark.createDataFrame([(k, i, float(p[0]), float(p[1])) for k, line in lines.items() for i, p in enumerate(line)], "route_id string, sequence int, lat double, lon double")
     b = spark.createDataFrame(trips, "trip_id int, time double, lat double, lon double").repartition(3)
-    made = run("entity-matching", {"input data 1": a, "input data 2": b}, algorithm="BULMA", left_key="route_id", right_key="trip_id", left_order="sequence", right_order="time", distance=60.0, measure=measure)
+    made = run("entity-matching", {"input data 1": a, "input data 2": b}, algorithm="routes", left_key="route_id", right_key="trip_id", left_order="sequence", right_order="time", distance=60.0, measure=measure)
     got = {r.key: r.route for r in made["output data 1"].collect()}
     assert got.pop(100) is None and 101 not in got
     assert got == want
