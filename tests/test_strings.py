@@ -62,3 +62,12 @@ def test_analysis_has_outliers_and_clusters(spark):
     made = run("attribute-analysis", {"input data": df}, outliers=2)
     assert [(r.attribute, r.value) for r in made["outliers"].collect()] == [("v", -500.0), ("v", 1000.0)]
     assert run("attribute-analysis", {"input data": df}, cluster=True, similarity=0.5)["clusters"].keys() == {"s"}
+
+
+@pytest.mark.parametrize("pairs", [0, 8])
+def test_numbered_names_are_not_compared_all_with_all(spark, pairs):
+    values = [f"Customer#{i:09d}" for i in range(0, 6000, 7)] + [f"item {i % 10} of {i}" for i in range(40)] + ["abcd", "abcde", "bcdef", "xx", "xxx"]
+    report = {}
+    made = S.string_clusters(spark.createDataFrame([(v,) for v in values], "s string").repartition(4), "s", tile=64, pairs=pairs, report=report)
+    assert found(made) == brute(values, 0.8)
+    assert report["rows"] == len(set(values)) and (pairs == 0 or report["sent"] < 20 * report["rows"])
