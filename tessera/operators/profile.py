@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators import quantiles
-from tessera.operators.durable import running
+from tessera.operators.durable import running, stored
 from tessera.operators.quantiles import grouped_percentiles as quantiles_of
 from tessera.operators.registry import IN, OUT, ParameterError, flag, names, need, operator
 from tessera.operators.relational import aggregate_column
@@ -74,6 +74,8 @@ def box_plot(inputs, fact_attributes=None, attributes=None, group=None, exact=Tr
             s = quantiles.joined(s.drop("q"), quantiles.percentiles(df, by, F.col(a), QUARTILES), by)
         s = s.select(*by, F.lit(a).alias("attribute"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean", "min", "max")
         s = s.withColumns({"lower_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "upper_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
+        # a table of one row a group: its size is known, so that it is sent to the rows and not all rows of a group to one task
+        s = stored(s, "fences")
         on = [df[g].eqNullSafe(s[g]) for g in by]
         j = df.select(*by, F.col(a).cast("double").alias("_v")).join(s.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(by)), "lower_fence", "upper_fence"), [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(by)]) if on else df.select(F.col(a).cast("double").alias("_v")).crossJoin(F.broadcast(s.select("lower_fence", "upper_fence")))
         within = F.col("_v").between(F.col("lower_fence"), F.col("upper_fence"))

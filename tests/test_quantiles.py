@@ -38,3 +38,11 @@ def test_operators_use_them(spark, monkeypatch):
     again = run("box-plot", {"input data": df}, attributes=["v"], group=["g"])["output data"].collect(), run("quantile-table", {"input data": df}, attributes=["v"])["output data"].collect(), run("clean-missing", {"input data": table(spark, 3)}, attributes=["v"], cleaning_mode="MEDIAN")["output data"].agg(F.sum(F.when(F.col("g").isNull(), F.col("v")))).first()[0]
     rounded = lambda rows: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
     assert rounded(plain[0]) == rounded(again[0]) and rounded(plain[1]) == rounded(again[1]) and plain[2] == pytest.approx(again[2])
+
+
+def test_box_plot_sends_fences_to_the_rows(spark):
+    rows = spark.createDataFrame([("ab"[i % 10 == 0], float(i)) for i in range(500)], "g string, v double")
+    made = run("box-plot", {"input data": rows}, attributes=["v"], group=["g"])["output data"]
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert sorted(tuple(r[c] for c in ("g", "q1", "median", "q3", "outliers")) for r in made.collect()) == [("a", 125.25, 250.0, 374.75, 0), ("b", 122.5, 245.0, 367.5, 0)]
