@@ -161,11 +161,11 @@ def spread(labels, links, key: str = "k"):
     keep = lambda df: stored(df, "labels")
     now = keep(labels)
     while True:
-        near = links.join(now.toDF("b", "lb"), "b").groupBy("a").agg(F.min("lb").alias("m"))
-        step = now.join(near, now[key] == near["a"], "left").select(key, F.least("label", F.coalesce("m", "label")).alias("label"))
-        jump = step.join(step.toDF("label", "up"), "label", "left").select(key, F.least("label", F.coalesce("up", "label")).alias("label"))
+        near = links.join(now.toDF("b", "lb").hint("merge"), "b").groupBy("a").agg(F.min("lb").alias("m"))
+        step = now.join(near.hint("merge"), now[key] == near["a"], "left").select(key, F.least("label", F.coalesce("m", "label")).alias("label"))
+        jump = step.join(step.toDF("label", "up").hint("merge"), "label", "left").select(key, F.least("label", F.coalesce("up", "label")).alias("label"))
         new = keep(jump)
-        changed = new.join(now.withColumnRenamed("label", "old"), key).filter("label <> old").isEmpty()
+        changed = new.join(now.withColumnRenamed("label", "old").hint("merge"), key).filter("label <> old").isEmpty()
         now = new
         if changed:
             return now

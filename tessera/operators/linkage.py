@@ -88,7 +88,7 @@ def agglomerative(inputs, attributes=None, features=None, number_of_clusters=2,
         limit = math.sqrt(2 * threshold) if threshold is not None and metric == "cosine" else threshold
         at = places.select("id", "x")
         groups = cut_tree(at, spanning_tree(at, "euclidean" if metric == "cosine" else metric), k, limit)
-        group_of = at.join(groups, "id").select("x", F.col("group").alias("g"))
+        group_of = at.join(groups.hint("merge"), "id").select("x", F.col("group").alias("g"))
     else:
         small = stored(_small_clusters(places, int(micro_clusters)), "small")
         width = places.select(F.max(F.size("x"))).first()[0] or 0

@@ -206,7 +206,7 @@ def search(cells: Cells, queries: DataFrame, k: int, groups: DataFrame | None =
     asked = {r[0]: r[1] for r in sent.groupBy("cell").count().collect()}  # one row a pivot
     parts = [(c, -(-int(cells.count[c]) // TILE), -(-n // TILE)) for c, n in asked.items()]
     parts = F.broadcast(spark.createDataFrame(parts, "cell int, np int, nq int"))  # at most PIVOTS rows
-    points = cells.placed if groups is None else cells.placed.join(groups, "id")
+    points = cells.placed if groups is None else cells.placed.join(groups.hint("merge"), "id")
     points = points.withColumn("group", F.col("group") if groups is not None else F.lit(-1).cast("long")).join(parts, "cell")
     salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -270,17 +270,17 @@ def _followed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def follow(pointers: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels (id, group) after each group followed its pointer (c, p) to the end; the smaller of two groups that point at each
     other is an end, and so is a group without pointer. There are no longer cycles."""
-    back = pointers.toDF("_c", "_p")
+    back = pointers.toDF("_c", "_p").hint("merge")
     mutual = pointers.join(back, (pointers["p"] == back["_c"]) & (pointers["c"] == back["_p"]), "left_semi").filter("c < p").select("c")
-    heads = pointers.join(mutual, "c", "left_anti")
+    heads = pointers.join(mutual.hint("merge"), "c", "left_anti")
     every = labels.select(F.col("group").alias("c")).distinct()
-    now = stored(every.join(heads, "c", "left").select("c", F.coalesce("p", "c").alias("p")), "pointers")
+    now = stored(every.join(heads.hint("merge"), "c", "left").select("c", F.coalesce("p", "c").alias("p")), "pointers")
     if now.count() <= FEW:
         now = stored(now.coalesce(1).mapInArrow(_followed, "c long, p long"), "ends")
     else:
         while True:
-            new = stored(now.join(now.toDF("p", "_q"), "p").select("c", F.col("_q").alias("p")), "pointers")
-            if new.join(now.toDF("c", "_o"), "c").filter("p <> _o").isEmpty():
+            new = stored(now.join(now.toDF("p", "_q").hint("merge"), "p").select("c", F.col("_q").alias("p")), "pointers")
+            if new.join(now.toDF("c", "_o").hint("merge"), "c").filter("p <> _o").isEmpty():
                 break
             now = new
     ends = now.toDF("group", "_end").hint("merge")
@@ -306,24 +306,25 @@ def spanning_tree(points: DataFrame, metric: str = "euclidean", k: int = 8, cell
     """(round, c, a, b, dist): a minimum spanning tree of points (id, x) by Borůvka's rounds.
 
     In each round every group takes its shortest edge to another one (ties by the smaller ends), so that groups at least halve.
+    Tables that grow with the points are joined by shuffles and merges: sent to all tasks they would pass through the driver.
     The k nearest points of each give most of these edges. A group searches further only with the points whose k-th neighbour
     is nearer than the shortest edge known to its group, and only so far. c is the group whose edge it is."""
     cells = cells or place(points, metric, k + 1)
     near = stored(search(cells, points, k)[0], "neighbours")
     reach = near.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("reach"))
-    reach = stored(points.join(reach, "id", "left").select("id", "x", F.when(F.col("n") >= k, F.col("reach")).otherwise(F.lit(0.0)).alias("reach")), "reach")
+    reach = stored(points.join(reach.hint("merge"), "id", "left").select("id", "x", F.when(F.col("n") >= k, F.col("reach")).otherwise(F.lit(0.0)).alias("reach")), "reach")
     labels, edges, number = points.select("id", F.col("id").alias("group")), None, 0
     edge = F.struct("dist", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "a", "b").alias("e")
     while labels.select("group").distinct().limit(2).count() > 1:
-        named = near.join(labels, "id").join(labels.toDF("other", "_g"), "other").filter(F.col("group") != F.col("_g"))
+        named = near.join(labels.hint("merge"), "id").join(labels.toDF("other", "_g").hint("merge"), "other").filter(F.col("group") != F.col("_g"))
         known = stored(named.select("group", F.col("id").alias("a"), F.col("other").alias("b"), "dist").groupBy("group").agg(F.min(edge).alias("e")), "known")
-        rows = reach.join(labels, "id")
+        rows = reach.join(labels.hint("merge"), "id")
         # points that may have a nearer foreign point than their group knows of: their k neighbours end before it
-        unsure = rows.join(known.select("group", F.col("e.dist").alias("bound")), "group", "left").filter("bound IS NULL OR reach <= bound")
+        unsure = rows.join(known.select("group", F.col("e.dist").alias("bound")).hint("merge"), "group", "left").filter("bound IS NULL OR reach <= bound")
         unsure = stored(unsure.select("id", "x", "group", "bound"), "unsure")
         found = known
         if not unsure.isEmpty():
-            firsts = cells.placed.join(labels, "id").groupBy("cell", "group").agg(F.min("far").alias("far"))
+            firsts = cells.placed.join(labels.hint("merge"), "id").groupBy("cell", "group").agg(F.min("far").alias("far"))
             two = firsts.withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy("far", "group"))).filter("_r <= 2").collect()  # two rows a pivot
             best, groups = np.full((len(cells.pivots), 2), np.inf), np.full((len(cells.pivots), 2), -1, np.int64)
             for r in two:
@@ -331,12 +332,12 @@ def spanning_tree(points: DataFrame, metric: str = "euclidean", k: int = 8, cell
             alone = {c: int(groups[c, 0]) for c in range(len(best)) if np.isfinite(best[c, 0]) and not np.isfinite(best[c, 1])}
             limits = unsure.filter("bound IS NULL").select("id", "x", "group").mapInArrow(_through(cells, best, groups), "`group` long, bound double")
             limits = limits.groupBy("group").agg(F.min("bound").alias("_limit"))
-            unsure = unsure.join(limits, "group", "left").select("id", "x", "group", F.coalesce("bound", "_limit").alias("bound"))
+            unsure = unsure.join(limits.hint("merge"), "group", "left").select("id", "x", "group", F.coalesce("bound", "_limit").alias("bound"))
             more = search(cells, unsure, 1, groups=labels, alone=alone)[0]
-            more = more.join(labels, "id").select("group", F.col("id").alias("a"), F.col("other").alias("b"), "dist")
+            more = more.join(labels.hint("merge"), "id").select("group", F.col("id").alias("a"), F.col("other").alias("b"), "dist")
             found = known.unionByName(more.groupBy("group").agg(F.min(edge).alias("e"))).groupBy("group").agg(F.min("e").alias("e"))
         chosen = stored(found.select(F.lit(number).alias("round"), F.col("group").alias("c"), "e.a", "e.b", "e.dist"), "edges")
-        pointers = chosen.join(labels.toDF("b", "p"), "b").select("c", "p")
+        pointers = chosen.join(labels.toDF("b", "p").hint("merge"), "b").select("c", "p")
         labels = follow(pointers, labels)
         edges, number = chosen if edges is None else edges.unionByName(chosen), number + 1
     if edges is None:
@@ -353,14 +354,14 @@ def cut_tree(points: DataFrame, edges: DataFrame, clusters: int | None = None, t
     elif clusters and clusters > 1:
         tree = edges.select("dist", low.alias("low"), high.alias("high")).distinct()  # groups may have taken the same edge
         gone = stored(tree.orderBy(F.desc("dist"), F.desc("low"), F.desc("high")).limit(clusters - 1).select("low", "high"), "cut")
-        kept = edges.join(gone, (low == gone["low"]) & (high == gone["high"]), "left_anti")
+        kept = edges.join(gone.hint("merge"), (low == gone["low"]) & (high == gone["high"]), "left_anti")
     else:
         kept = edges
     labels = points.select("id", F.col("id").alias("group"))
     # round by round as the tree grew: without the cut edges, still each part has one edge of its own at most
     for (number,) in sorted(map(tuple, kept.select("round").distinct().collect())):
         some = kept.filter(F.col("round") == number)
-        ends = some.join(labels.toDF("a", "c0"), "a").join(labels.toDF("b", "p"), "b").filter("c0 <> p").select(F.col("c0").alias("c"), "p").distinct()
+        ends = some.join(labels.toDF("a", "c0").hint("merge"), "a").join(labels.toDF("b", "p").hint("merge"), "b").filter("c0 <> p").select(F.col("c0").alias("c"), "p").distinct()
         labels = follow(ends, labels)
     least = labels.groupBy("group").agg(F.min("id").alias("_least"))
     return labels.join(least.hint("merge"), "group").select("id", F.col("_least").alias("group"))

@@ -173,3 +173,15 @@ def test_clashing_names(spark):
     df = frame(spark, cloud(10, 40, 2)).withColumns({c: F.lit("?") for c in ("k", "x", "cell", "other", "dist", "group", "near")})
     out = run("local-outlier-factor", {IN: df}, features=["f0", "f1"], n_neighbors=3, key="id")[OUT]
     assert out.columns == [*df.columns, "lof"] and out.count() == 40
+
+
+def test_tables_of_a_spanning_tree_do_not_pass_through_the_driver(spark, monkeypatch):
+    from tessera.operators import neighbours
+
+    plans, kept = [], neighbours.stored
+    monkeypatch.setattr(neighbours, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().sparkPlan().toString())) or kept(df, name))
+    points = kept(spark.range(40).selectExpr("id", "array(cast(id * id as double)) AS x"), "line")
+    edges = neighbours.spanning_tree(points, k=2)
+    groups = neighbours.cut_tree(points, edges, threshold=30.0)
+    assert groups.filter("group = 0").count() == 16
+    assert not [n for n, p in plans if n in ("known", "reach", "unsure", "pointers", "labels") and "Broadcast" in p]
