@@ -13,7 +13,8 @@ from tessera.operators.registry import IN, OUT, names, need, operator
 def frequent_item_set(inputs, attribute=None, min_support=0.1, min_confidence=0.5, **_):
     """Item sets with their share of all baskets, and rules. Items of a basket count once."""
     df, a = inputs[IN], names(need(attribute, "attribute"))[0]
-    baskets = df.select(F.array_distinct(a).alias("items"))
+    # read several times: by the counts, the trees and the number of baskets
+    baskets = stored(df.select(F.array_distinct(a).alias("items")), "baskets")
     model = FPGrowth(itemsCol="items", minSupport=float(min_support), minConfidence=float(min_confidence)).fit(baskets)
     n = baskets.count()
     sets = model.freqItemsets.select(F.array_sort("items").alias("items"), "freq", (F.col("freq") / n).alias("support"))
