@@ -26,9 +26,10 @@ from tessera.operators.registry import IN, OUT, names, need, operator
 COUNTERS = 1 << 16
 #: Strings of a tile's side.
 TILE = 512
-#: Pairs a group may have for each row of the next depth before it goes on there; depths at most; and rows of a depth for each string,
+#: Pairs a group may have for each row of the next depth before it goes on there (a tile's pairs are counted all at once, so that a
+#: row costs as much as some hundreds of them); depths at most; and rows of a depth for each string,
 #: beyond which all groups are compared in tiles.
-PAIRS, DEPTHS, ROWS = 8, 8, 256
+PAIRS, DEPTHS, ROWS = 256, 8, 256
 
 
 def grams(value: str) -> frozenset[str]:
@@ -88,30 +89,67 @@ def _verified(threshold: float):
 _TILE_KEY = ["depth", "sig", "i", "j"]
 
 
+#: 3-grams counted in common at once in a tile, and 3-grams and strings that a task remembers.
+_COLUMNS, _REMEMBERED = 4096, 1 << 18
+
+
+def _in_common(rows: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two of these sets have in common."""
+    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    names_, at, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    shared = n > 1
+    column = np.cumsum(shared) - 1
+    of, at = of[shared[at]], column[at[shared[at]]]
+    common = np.diag([len(r) for r in rows]).astype(np.float32)  # the diagonal plays no part
+    for lo in range(0, int(shared.sum()), _COLUMNS):
+        here = (at >= lo) & (at < lo + _COLUMNS)
+        has = np.zeros((len(rows), min(_COLUMNS, int(shared.sum()) - lo)), np.float32)
+        has[of[here], at[here] - lo] = 1
+        common += has @ has.T
+    return common.astype(np.float64)
+
+
+def _forest(meets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric graph."""
+    left = np.ones(len(meets), bool)
+    for start in range(len(meets)):
+        todo = [start] if left[start] else []
+        left[start] = False
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero(meets[x] & left)
+            left[new] = False
+            for y in new.tolist():
+                todo.append(y)
+                yield x, y
+
+
 def _tiles(threshold: float):
     """Links (a, b) between labels of like strings, a spanning forest of each tile. Rows come tile by tile."""
+    number: dict[str, int] = {}
+    known: dict[str, np.ndarray] = {}
+
+    def numbers(value: str) -> np.ndarray:
+        if (out := known.get(value)) is None:
+            out = known[value] = np.array([number.setdefault(g, len(number)) for g in grams(value)])
+        return out
 
     def links(chunk: np.ndarray, one: bool, values: list[str], labels: np.ndarray) -> Iterator[tuple[int, int]]:
-        sets = [grams(v) for v in values]
-        size = np.array([len(s) for s in sets])
-        names_, at = np.unique(labels, return_inverse=True)
-        parent = list(range(len(names_)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for x in range(len(sets) - 1):
-            meets = (at[x + 1 :] != at[x]) & (np.minimum(size[x + 1 :], size[x]) >= threshold * np.maximum(size[x + 1 :], size[x]) - 1e-9)
-            if not one:
-                meets &= chunk[x + 1 :] != chunk[x]
-            for y in (np.flatnonzero(meets) + x + 1).tolist():
-                a, b = root(int(at[x])), root(int(at[y]))
-                if a != b and _like(sets[x], sets[y], threshold):
-                    parent[b] = a
-                    yield int(labels[x]), int(labels[y])
+        if (labels == labels[0]).all():
+            return
+        if max(len(known), len(number)) > _REMEMBERED:
+            known.clear()
+            number.clear()
+        sets = [numbers(v) for v in values]
+        size = np.array([len(s) for s in sets], np.float64)
+        common = _in_common(sets)
+        meets = common >= threshold * (size[:, None] + size - common) - 1e-12
+        if not one:
+            meets &= chunk[:, None] != chunk
+        meets |= labels[:, None] == labels
+        for x, y in _forest(meets):
+            if labels[x] != labels[y]:
+                yield int(labels[x]), int(labels[y])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def full() -> Iterator[pa.Table]:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from tessera.operators import strings as S
@@ -71,3 +72,25 @@ def test_numbered_names_are_not_compared_all_with_all(spark, pairs):
     made = S.string_clusters(spark.createDataFrame([(v,) for v in values], "s string").repartition(4), "s", tile=64, pairs=pairs, report=report)
     assert found(made) == brute(values, 0.8)
     assert report["rows"] == len(set(values)) and (pairs == 0 or report["sent"] < 20 * report["rows"])
+
+
+def test_a_crowded_tile_is_not_compared_string_by_string(monkeypatch):
+    """Links of a tile are those of all pairs, with no set of two strings compared on its own."""
+    rng = random.Random(5)
+    values = [f"https://m.{rng.choice(['thth', 'tion'])}.example.org/de/{rng.randrange(10**4)}{rng.choice(['/', '.html', '#top'])}" for _ in range(300)] + [chr(0x4E00 + i % 9) * 2 + "".join(chr(0x4E00 + k) for k in range(i, i + 9000)) for i in range(3)]
+    values = sorted(set(values))
+    want = brute(values, 0.8)
+    monkeypatch.setattr(S, "_like", None)
+    n = len(values)
+    columns = {"depth": [1] * n, "sig": [7] * n, "i": [0] * n, "j": [0] * n, "chunk": [0] * n, "label": list(range(n)), "value": values}
+    batch = pa.RecordBatch.from_pydict(columns)
+    made = [(r["a"], r["b"]) for out in S._tiles(0.8)([batch.slice(0, 100), batch.slice(100)]) for r in out.to_pylist()]
+    group = list(range(n))
+    for a, b in made:
+        low, high = sorted((group[a], group[b]))
+        group = [low if g == high else g for g in group]
+    parts = {}
+    for v, g in zip(values, group, strict=True):
+        parts.setdefault(g, set()).add(v)
+    assert {frozenset(p) for p in parts.values() if len(p) > 1} == want
+    assert len(made) < n
