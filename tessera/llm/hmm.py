@@ -11,8 +11,9 @@ for words never seen. In each state they all sum to 1.
    their contents; no text of more tokens than that): only to break the symmetry of the states. Each Baum-Welch round then
    runs forward and backward over every training sequence; expected counts of states, transitions and emissions are added up
    across partitions, in two steps so that no task adds up too many. The last round also adds up the expected counts of each
-   word without a symbol, by word.
-4. Scores: scaled forward recursion over each whole sequence; the words without a symbol find their emissions by a join.
+   word without a symbol, by word, in one exchange with the words' counts.
+4. Scores: scaled forward recursion over each whole sequence; the words without a symbol find their emissions by a join, the
+   texts in ``_PARTS`` parts one after the other, as each pair of a text and a word brings a number for each state.
 
 Many texts are recursed at once, a step of all of them in one array operation. Nothing depends on how rows are dealt to
 partitions but the last bits of sums.
@@ -27,6 +28,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ SAMPLE_TOKENS = 600_000
 PRIOR = 200.0
 #: Distinct words a task counts before it sends them on; tokens recursed at once; symbols in a piece of the counts.
 _HELD, _TOKENS, _PIECE = 300_000, 300_000, 4096
+#: Parts of the texts that are scored one after the other, each with shuffle files of its own that are deleted when it is done.
+_PARTS = 4
 
 
 @dataclass
@@ -198,8 +202,8 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-_CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, symbols binary, rare_at binary, rare array<struct<word: binary, n: int>>"
-_CODED_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("symbols", pa.binary()), ("rare_at", pa.binary()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))])
+_CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, symbols binary, rare_at binary, rare array<binary>"
+_CODED_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("symbols", pa.binary()), ("rare_at", pa.binary()), ("rare", pa.list_(pa.binary()))])
 
 
 def _code(shared):
@@ -207,20 +211,23 @@ def _code(shared):
         voc: Vocabulary = shared.value
         end_known, other = int(voc.total > 0), voc.other
         for batch in slices(batches):
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(5)]
+            rare: list[bytes] = []
+            edges = [0]
             for raw in utf8_bytes(batch.column(2)):
                 words = raw.lower().split()
                 seq = np.array([*map(voc.symbols.get, words, [other] * len(words)), 0], np.int64)
-                rare_words = [w for w in words if w not in voc.symbols]
-                rare = Counter(rare_words)
-                n_rare, place = len(rare_words), {w: i for i, w in enumerate(rare)}
+                place: dict[bytes, int] = {}
+                at = np.array([place.setdefault(words[i], len(place)) for i in np.flatnonzero(seq == other).tolist()], np.int64)
                 columns[0].append(len(seq))
-                columns[1].append(len(words) - n_rare + end_known)
+                columns[1].append(len(words) - len(at) + end_known)
                 columns[2].append(float(voc.log_base[seq].sum()))
                 columns[3].append(seq.astype("<u2").tobytes())
-                columns[4].append(np.array([place[w] for w in rare_words], "<u4").tobytes())
-                columns[5].append([{"word": w, "n": n} for w, n in rare.items()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(columns, list(_CODED_ARROW)[2:], strict=True))], names=_CODED_ARROW.names)
+                columns[4].append(at.astype("<u4").tobytes())
+                rare += place
+                edges.append(len(rare))
+            words_of = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(rare, pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(columns, list(_CODED_ARROW)[2:-1], strict=True)), words_of], names=_CODED_ARROW.names)
 
     return run
 
@@ -229,28 +236,33 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u2").astype(np.int64) for x in column.to_pylist()]
 
 
-_SUMS = "piece int, lot int, sums binary, word binary"
+_SUMS = "piece int, lot int, sums binary"
 
 
 def _sums(pieces: Iterable[tuple[int, np.ndarray]], lot: int) -> Iterator[pa.RecordBatch]:
     for piece, x in pieces:
         data = np.ascontiguousarray(x, np.float64).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([lot], pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, pa.binary())], names=["piece", "lot", "sums", "word"])
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([lot], pa.int32()), pa.array([data], pa.binary())], names=["piece", "lot", "sums"])
+
+
+def _rows(symbols: pa.Array, words: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
+    """Rows (symbol or word, its sums, no count)."""
+    return pa.RecordBatch.from_arrays([symbols, words, *(pa.array(np.ascontiguousarray(x)) for x in sums.T), pa.array(np.zeros(len(sums), np.int64))], names=["symbol", "word", *_g(sums.shape[1]), "c"])
 
 
 def _by_word(words: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
-    """Rows (word, its sums), each word once."""
+    """Rows of words, each once."""
     coded = words.dictionary_encode()
     at = coded.indices.to_numpy()
     total = np.stack([np.bincount(at, sums[:, i], len(coded.dictionary)) for i in range(sums.shape[1])], axis=1)
-    n = len(total)
-    data = pa.array([x.tobytes() for x in total], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), data, coded.dictionary], names=["piece", "lot", "sums", "word"])
+    return _rows(pa.nulls(len(total), pa.int32()), coded.dictionary, total)
 
 
 def _expect(shared, with_words: bool):
-    """Sequences of one task in, its expected counts by pieces of the symbols out; piece -1 has states and moves. Rows with a
-    word instead of a piece hold the counts of words without a symbol."""
+    """Sequences of one task in, its expected counts by pieces of the symbols out; piece -1 has states and moves.
+
+    With words, rows of symbols and of words without a symbol instead; beyond the symbols stand the moves, the states and the
+    likelihood."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
@@ -260,16 +272,20 @@ def _expect(shared, with_words: bool):
             seqs = _sequences(batch.column(0))
             if with_words:
                 places = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column(1).to_pylist()]
-                rare = batch.column(2)
-                edges = rare.offsets.to_numpy()
-                words = rare.values.field(0)
+                edges, words = batch.column(2).offsets.to_numpy(), batch.column(2).values
             for lot in _order(np.array([len(s) for s in seqs], np.int64)):
                 first, moves, emitted, total, *chances = expected([seqs[i] for i in lot], model, other if with_words else None)
                 small += np.concatenate((first, moves.ravel(), [total]))
                 emissions += emitted
                 if with_words and len(chances[0]):
                     yield _by_word(words.take(pa.array(np.concatenate([edges[i] + places[i] for i in lot]))), chances[0])
-        if small.any():
+        if small.any() and with_words:
+            sums = np.concatenate((emissions, small[k:-1].reshape(k, k), small[None, :k], np.full((1, k), small[-1])))
+            some = np.flatnonzero(sums.any(axis=1))
+            for at in range(0, len(some), 20_000):
+                part = some[at : at + 20_000]
+                yield _rows(pa.array(part, pa.int32()), pa.nulls(len(part), pa.binary()), sums[part])
+        elif small.any():
             lot = int(np.frombuffer(small[:1].tobytes(), np.uint32)[0] % 64)  # any spread will do
             yield from _sums([(-1, small)] + [(i, emissions[i * _PIECE : (i + 1) * _PIECE]) for i in range(-(-len(emissions) // _PIECE))], lot)
 
@@ -286,38 +302,47 @@ def _add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _sums([(piece, x)], lot)
 
 
-def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64)
-        k = len(values) // max(batch.num_rows, 1)
-        offsets = pa.array(np.arange(batch.num_rows + 1) * k, pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["word", "g"])
-
-
-def baum_welch(sequences: DataFrame, model: Model, unigram: np.ndarray, with_words: bool = False, weight: float | None = None) -> tuple[Model, float, DataFrame | None, np.ndarray]:
-    """One round over all rows of ``sequences(symbols, rare_at, rare)``: the next model, the log10 likelihood under this one,
-    expected counts (word, g) of the words without a symbol if asked for, and the states' sums of expected counts.
+def baum_welch(sequences: DataFrame, model: Model, unigram: np.ndarray, weight: float | None = None) -> tuple[Model, float]:
+    """One round over all rows of ``sequences(symbols)``: the next model and the log10 likelihood under this one.
 
     The driver gets the summed counts: symbols x states numbers, whatever the input.
     """
     shared = sequences.sparkSession.sparkContext.broadcast(model)
-    columns = ["symbols", "rare_at", "rare"] if with_words else ["symbols"]
-    parts = sequences.select(*columns).mapInArrow(_expect(shared, with_words), _SUMS)
-    words = None
-    k = len(model.start)
-    if with_words:
-        parts = materialize(sequences.sparkSession, parts, "expected")
-        words = parts.filter("word IS NOT NULL").select("word", "sums").mapInArrow(_unpacked, "word binary, g array<double>")
-        words = words.groupBy("word").agg(F.array(*(F.sum(F.col("g")[i]) for i in range(k))).alias("g"))
-        parts = parts.filter("piece IS NOT NULL")
-    parts = parts.repartition("piece", "lot").mapInArrow(_add_up, _SUMS)
+    parts = sequences.select("symbols").mapInArrow(_expect(shared, False), _SUMS).repartition("piece", "lot").mapInArrow(_add_up, _SUMS)
     sums = parts.withColumn("lot", F.lit(0)).repartition("piece").mapInArrow(_add_up, _SUMS).collect()
     by = {r.piece: np.frombuffer(r.sums, np.float64) for r in sums}
     if not by:
-        return model, 0.0, words, np.zeros(k)
+        return model, 0.0
+    k = len(model.start)
     emissions = np.concatenate([by[i] for i in sorted(by) if i >= 0]).reshape(-1, k)
     small = by[-1]
-    return maximise(small[:k], small[k : k + k * k].reshape(k, k), emissions, unigram, weight=weight), float(small[-1]), words, emissions.sum(axis=0)
+    return maximise(small[:k], small[k : k + k * k].reshape(k, k), emissions, unigram, weight=weight), float(small[-1])
+
+
+def _g(states: int) -> list[str]:
+    return [f"g{i}" for i in range(states)]
+
+
+def last_round(sequences: DataFrame, counts: DataFrame, model: Model, unigram: np.ndarray, weight: float | None = None) -> tuple[Model, DataFrame, np.ndarray]:
+    """One round over all rows of ``sequences(symbols, rare_at, rare)`` that also counts the words without a symbol: the next
+    model, the words of ``counts(word, n)`` with their count c and expected counts g0, g1 ..., and the states' sums of these.
+
+    Words and symbols are added up by one exchange, together with the words' counts, so nothing is stored before it.
+    """
+    spark, k, s = sequences.sparkSession, len(model.start), len(model.emit)
+    shared = spark.sparkContext.broadcast(model)
+    schema = ", ".join(["symbol int", "word binary", *(f"{g} double" for g in _g(k)), "c long"])
+    parts = sequences.select("symbols", "rare_at", "rare").mapInArrow(_expect(shared, True), schema)
+    counted = counts.select(F.lit(None).cast("int").alias("symbol"), "word", *(F.lit(0.0).alias(g) for g in _g(k)), F.col("n").alias("c"))
+    sums = parts.unionByName(counted).groupBy("symbol", "word").agg(*(F.sum(x).alias(x) for x in (*_g(k), "c")))
+    sums = materialize(spark, sums, "emissions")
+    words = sums.filter("word IS NOT NULL").drop("symbol")
+    got = sums.filter("symbol IS NOT NULL").select("symbol", *_g(k)).toArrow()
+    if not got.num_rows:
+        return model, words, np.zeros(k)
+    total = np.zeros((s + k + 2, k))
+    total[got.column("symbol").to_numpy()] = np.stack([got.column(g).to_numpy() for g in _g(k)], axis=1)
+    return maximise(total[s + k], total[s : s + k], total[:s], unigram, weight=weight), words, total[:s].sum(axis=0)
 
 
 def vocabulary(counts: DataFrame, top: int = TOP) -> Vocabulary:
@@ -353,18 +378,73 @@ def held_out(modulus: int = 7, remainder: int = 2):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def train(coded: DataFrame, voc: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, DataFrame | None, np.ndarray]:
-    """The model, expected counts (word, g) of the words without a symbol, and the states' sums of expected counts."""
+def train(coded: DataFrame, counts: DataFrame, voc: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, DataFrame, np.ndarray]:
+    """The model, all words with their counts and expected counts, and the states' sums of expected counts."""
     learn = coded.filter("NOT held_out")
     docs, tokens = learn.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     part = min(1.0, SAMPLE_DOCS / max(docs, 1), SAMPLE_TOKENS / max(tokens, 1))
     name = F.xxhash64("symbols")
     chosen = learn.filter(F.pmod(name, F.lit(1 << 40)) < int(part * (1 << 40))).filter(F.col("n_tokens") <= SAMPLE_TOKENS)
     sample = [np.frombuffer(bytes(r.symbols), "<u2").astype(np.int64) for r in sorted(chosen.select("symbols", name.alias("name")).collect(), key=lambda r: (r.name, bytes(r.symbols)))]
-    model, words, sums = fit_sample(sample, voc.unigram, states), None, np.zeros(states)
-    for i in range(rounds):
-        model, _, words, sums = baum_welch(learn, model, voc.unigram, i == rounds - 1, voc.weight)
-    return model, words, sums
+    model = fit_sample(sample, voc.unigram, states)
+    for _ in range(rounds - 1):
+        model, _ = baum_welch(learn, model, voc.unigram, voc.weight)
+    if rounds:
+        return last_round(learn, counts, model, voc.unigram, voc.weight)
+    return model, counts.select("word", *(F.lit(0.0).alias(g) for g in _g(states)), F.col("n").alias("c")), np.zeros(states)
+
+
+def _score(shared, total: int, distinct: int, weight: float, sums: np.ndarray):
+    """Each text (at -1, head) followed by what is known of its words without a symbol (at, c, g0, g1 ...) in, its score out."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def scored(table: pa.Table) -> pa.RecordBatch:
+        model: Model = shared.value
+        k = len(model.start)
+        at = table.column("at").to_numpy()
+        first = np.flatnonzero(at < 0)
+        head = table.column("head").combine_chunks().take(pa.array(first))
+        doc_id, held, n_tokens, n_known, base, symbols, rare_at = head.flatten()
+        seqs, places = _sequences(symbols), [np.frombuffer(x, "<u4").astype(np.int64) for x in rare_at.to_pylist()]
+        own = np.array([x.max() + 1 if len(x) else 0 for x in places], np.int64)  # a text's distinct words without a symbol
+        begin = np.cumsum(own) - own
+        of = np.repeat(np.arange(len(first)), own)
+        # words in no training text have no row
+        met = np.flatnonzero(at >= 0)
+        where = begin[np.searchsorted(first, met) - 1] + at[met]
+        c, g = np.zeros(len(of)), np.zeros((len(of), k))
+        c[where] = table.column("c").to_numpy()[met]
+        for i, name in enumerate(_g(k)):
+            g[where, i] = table.column(name).to_numpy()[met]
+        unigram = (c + 1) / float(total + distinct + 1)
+        emission = (g + weight * unigram[:, None]) / (sums + weight)
+        tokens = [b + x for b, x in zip(begin, places, strict=True)]
+        n = np.bincount(np.concatenate(tokens), minlength=len(of))
+        out, other = np.zeros(len(seqs)), len(model.emit) - 1
+        for lot in _order(np.array([len(s) for s in seqs], np.int64)):
+            spots = np.flatnonzero(np.concatenate([seqs[i] for i in lot]) == other)
+            out[lot] = forward([seqs[i] for i in lot], model, own=(spots, emission[np.concatenate([tokens[i] for i in lot])]))
+        base = base.to_numpy() + np.bincount(of, n * np.log10(unigram), len(first))
+        n_known = n_known.to_numpy() + np.bincount(of, n * (c > 0), len(first)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([doc_id, held, n_tokens, pa.array(n_known), pa.array(base), pa.array(out)], names=names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait: list[pa.RecordBatch] = []
+        texts = rows = 0
+        for batch in slices(batches, 2048):
+            wait.append(batch)
+            texts += int((batch.column(1).to_numpy() < 0).sum())
+            rows += batch.num_rows
+            if texts > 1 and (texts > 512 or rows > 100_000):
+                table = pa.Table.from_batches(wait)
+                last = int(np.flatnonzero(table.column("at").to_numpy() < 0)[-1])  # the last text may have more rows to come
+                yield scored(table.slice(0, last))
+                wait = table.slice(last).to_batches()
+                texts, rows = 1, table.num_rows - last
+        if rows:
+            yield scored(pa.Table.from_batches(wait))
+
+    return run
 
 
 def score_documents(docs: DataFrame, top: int = TOP, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
@@ -376,56 +456,18 @@ def score_documents(docs: DataFrame, top: int = TOP, states: int = STATES, round
     voc = vocabulary(counts, top)
     coded = texts.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_code(spark.sparkContext.broadcast(voc)), _CODED)
     coded = materialize(spark, coded.withColumn("row", F.monotonically_increasing_id()), "sequences")
-    model, expected_words, sums = train(coded, voc, states, rounds)
-
-    # what the last round's maximisation gives a word without a symbol in each state
-    ways = float(voc.total + voc.distinct + 1)
-    unigram = (F.coalesce("c", F.lit(0)) + 1) / F.lit(ways)
-    known = counts.withColumnRenamed("n", "c")
-    g = F.lit(None).cast("array<double>")
-    if expected_words is not None:
-        known = materialize(spark, known.join(expected_words, "word", "left"), "emissions")
-        g = F.col("g")
-    emission = F.array(*((F.coalesce(g[i], F.lit(0.0)) + F.lit(voc.weight) * unigram) / F.lit(float(sums[i]) + voc.weight) for i in range(states)))
-    tokens = coded.select("row", F.posexplode("rare").alias("at", "r")).select("row", "at", "r.word", "r.n")
-    met = tokens.join(known, "word", "left")
-    rare = met.groupBy("row").agg(
-        F.sum(F.col("n") * F.log10(unigram)).alias("rare_base"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).cast("long").alias("rare_known"),
-        F.collect_list(F.struct("at", emission.alias("e"))).alias("emitted"),
-    )
-
-    shared = spark.sparkContext.broadcast(model)
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512):
-            seqs, places = _sequences(batch.column(5)), [np.frombuffer(x, "<u4") for x in batch.column(6).to_pylist()]
-            emitted = batch.column(7)
-            edges = emitted.offsets.to_numpy()
-            at, values = emitted.values.field(0).to_numpy(), emitted.values.field(1).values.to_numpy().reshape(-1, states)
-            out, other = np.zeros(len(seqs)), len(shared.value.emit) - 1
-            for lot in _order(np.array([len(s) for s in seqs], np.int64)):
-                rows = []
-                for i in lot:
-                    lo, hi = edges[i], edges[i + 1]
-                    by_place = np.empty((hi - lo, states))
-                    by_place[at[lo:hi]] = values[lo:hi]
-                    rows.append(by_place[places[i]])
-                own = np.flatnonzero(np.concatenate([seqs[i] for i in lot]) == other)
-                out[lot] = forward([seqs[i] for i in lot], shared.value, own=(own, np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out)], names=names)
-
-    none = F.expr("cast(array() as array<struct<at: int, e: array<double>>>)")
-    j = coded.join(rare, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "symbols",
-        "rare_at",
-        F.coalesce("emitted", none).alias("emitted"),
-    )
-    scored = j.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    model, words, sums = train(coded, counts, voc, states, rounds)
+
+    # what the last round's maximisation gives a word without a symbol in each state goes to each text that has it
+    score = _score(spark.sparkContext.broadcast(model), voc.total, voc.distinct, voc.weight, sums)
+    known = [*_g(states), "c"]
+    done = []
+    for part in range(_PARTS):
+        some = coded.filter(F.pmod(F.xxhash64("row"), F.lit(_PARTS)) == part)
+        met = some.select("row", F.posexplode("rare").alias("at", "word")).join(words, "word").select("row", "at", F.lit(None).alias("head"), *known)
+        head = some.select("row", F.lit(-1).alias("at"), F.struct("doc_id", "held_out", "n_tokens", "n_known", "base", "symbols", "rare_at").alias("head"), *(F.lit(0.0 if x != "c" else 0).alias(x) for x in known))
+        ordered = head.unionByName(met).repartition("row").sortWithinPartitions("row", "at")
+        scored = ordered.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        done.append(materialize(spark, scored, "scores"))
+    scored = reduce(DataFrame.unionByName, done)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(voc.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -172,3 +172,20 @@ def test_unseen_texts_are_better_told_than_by_the_unigram(spark):
     rows = hmm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
     assert sum(r.score > r.base_score for r in rows) > 0.5 * len(rows)
+
+
+def test_stored_tables_are_small(spark, monkeypatch):
+    """A word without a symbol is stored with its text and once with its counts, and pairs of a text and a word pass in parts."""
+    from pathlib import Path
+
+    from tessera.llm import common
+
+    paths, plain = [], common.scratch
+    monkeypatch.setattr(common, "scratch", lambda *a: paths.append(plain(*a)) or paths[-1])
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    from pyspark.sql import functions as F
+
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    hmm.score_documents(docs, top=500).count()
+    stored = sum(f.stat().st_size for p in paths for f in Path(p.removeprefix("file:")).rglob("*.parquet"))
+    assert 0 < stored < 2.4 * size
