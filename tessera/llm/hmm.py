@@ -48,7 +48,7 @@ PRIOR = 200.0
 #: Distinct words a task counts before it sends them on; tokens recursed at once; symbols in a piece of the counts.
 _HELD, _TOKENS, _PIECE = 300_000, 300_000, 4096
 #: Parts of the texts that are scored one after the other, each with shuffle files of its own that are deleted when it is done.
-_PARTS = 4
+_PARTS = 2
 
 
 @dataclass
@@ -113,17 +113,16 @@ def forward(seqs: list[np.ndarray], model: Model, keep: bool = False, own: tuple
         step = np.empty(len(flat), np.int64)
         step[order] = np.arange(len(flat))
         emitted[step[own[0]]] = own[1]
-    total = np.zeros(len(seqs))
-    alphas, scales = (np.empty_like(emitted), np.empty(len(flat))) if keep else (None, None)
+    alphas, scales = np.empty_like(emitted) if keep else None, np.empty(len(flat))
+    ones = np.ones(len(model.start))
     a = np.broadcast_to(model.start, (len(seqs), len(model.start)))
-    for t in range(len(at) - 1):
-        n = at[t + 1] - at[t]
-        a = (a[:n] if t == 0 else a[:n] @ model.move) * emitted[at[t] : at[t + 1]]
-        s = a.sum(axis=1)
-        a = a / s[:, None]
-        total[:n] += np.log10(s)
-        if keep:
-            alphas[at[t] : at[t + 1]], scales[at[t] : at[t + 1]] = a, s
+    edges = at.tolist()
+    for t, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        a = (a[: hi - lo] if t == 0 else a[: hi - lo] @ model.move) * emitted[lo:hi]
+        s = np.matmul(a, ones, out=scales[lo:hi])
+        a = np.divide(a, s[:, None], out=alphas[lo:hi] if keep else a)
+    # rows of a step are the first so many sequences
+    total = np.bincount(np.arange(len(flat)) - np.repeat(at[:-1], np.diff(at)), np.log10(scales), len(seqs))
     return (total, flat, at, order, emitted, alphas, scales) if keep else total
 
 
@@ -132,18 +131,21 @@ def expected(seqs: list[np.ndarray], model: Model, of: int | None = None):
     states at each token that is this symbol, in the order of the sequences."""
     total, flat, at, order, emitted, alphas, scales = forward(seqs, model, True)
     k = len(model.start)
-    moves, gamma = np.zeros((k, k)), np.empty_like(alphas)
-    b = np.ones((len(seqs), k))
-    for t in range(len(at) - 2, -1, -1):
-        lo, hi = at[t], at[t + 1]
-        if t + 2 < len(at):
-            n = at[t + 2] - hi
-            x = emitted[hi : at[t + 2]] * b[:n] / scales[hi : at[t + 2], None]
-            moves += alphas[lo : lo + n].T @ x
-            b[:n] = x @ model.move.T
-        gamma[lo:hi] = alphas[lo:hi] * b[: hi - lo]
-    gamma /= gamma.sum(axis=1, keepdims=True)
-    emissions = np.stack([np.bincount(flat, gamma[:, i], len(model.emit)) for i in range(k)], axis=1)
+    emitted /= scales[:, None]
+    back = np.empty_like(alphas)
+    b, moved = np.ones((len(seqs), k)), np.ascontiguousarray(model.move.T)
+    edges = at.tolist()
+    for lo, hi in zip(edges[-2::-1], edges[:0:-1], strict=True):
+        back[lo:hi] = b[: hi - lo]
+        x = np.multiply(emitted[lo:hi], b[: hi - lo], out=emitted[lo:hi])
+        np.matmul(x, moved, out=b[: hi - lo])
+    # a token's predecessor stands as far back as the step before is long
+    size = np.diff(at)
+    later = np.arange(at[1], len(flat))
+    moves = alphas[later - np.repeat(size[:-1], size[1:])].T @ emitted[later[0] :] if len(later) else np.zeros((k, k))
+    gamma = np.multiply(alphas, back, out=back)
+    gamma /= (gamma @ np.ones(k))[:, None]
+    emissions = np.stack([np.bincount(flat, x, len(model.emit)) for x in np.ascontiguousarray(gamma.T)], axis=1)
     out = gamma[: at[1]].sum(axis=0), moves * model.move, emissions, float(total.sum())
     if of is None:
         return out
